@@ -138,7 +138,7 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
     A document is left out of a list if no other one there is of a size that could link.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column("entries")]
         e = np.concatenate(held)
         by = np.lexsort((e["doc"], e["sig"], e["n"], e["h"]))
@@ -165,7 +165,7 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
             leaders, docs = pairs[:, 0], pairs[:, 1]
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(docs, pa.int64())], ["leader", "doc"])
 
-    return entries.groupBy("bucket").applyInArrow(lambda key, batches: run(batches), "leader long, doc long").distinct()
+    return entries.groupBy("bucket").applyInArrow(run, "leader long, doc long").distinct()
 
 
 def links(h: np.ndarray, s: np.ndarray, percent: int, halves: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,16 +1,67 @@
-"""Cleaning of a document corpus in stages; each reads what the one before has written."""
+"""Cleaning of a document corpus in stages. Each stage is written and read again before the next one.
+
+Each function takes (spark, docs, sf_dir) and returns the rows that it keeps, with the columns of documents; the
+last one returns packed pieces. Null texts have no language and go with the first stage, as texts without letters do.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import langid, ngram_join, packing, pii, suffix_dedup
+from plumbline.llm.common import written
+from plumbline.llm.queries import vocabulary
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of some language; those that are `und` go."""
+    return langid.accepted(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose word shingles link them, directly or by others, the one with the smallest id stays.
+
+    Of repeated rows one stays. Rows without an id can't be told apart by one and go with their group.
+    """
+    first = written(ngram_join.join(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "first")
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    return kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+
 
-STAGES: list = []
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes or more that documents with smaller ids have; emptied ones go."""
+    gone = suffix_dedup.repeats(docs, keep_text=True).select(F.col("d").alias("_id"), F.lower(F.hex("sig")).alias("_sig"), F.col("kept").alias("_kept"))
+    both = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sig")), "left")
+    text = F.coalesce("_kept", "text")
+    cut = both.where(F.col("_kept").isNull() | (F.length("_kept") > 0))
+    n_chars = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long")
+    return cut.select(*(text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each piece of personal data replaced by its kind."""
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens."""
+    return packing.pack(docs, vocabulary(), window=1024, end_id=0)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("personal_data", personal_data),
+    ("packed", packed),
+]
+
+#: SQL can't express these stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.llm.common import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

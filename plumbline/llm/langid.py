@@ -135,42 +135,50 @@ def _outputs(at: np.ndarray, data: np.ndarray, model: Model, weights: np.ndarray
     g, row = grams(at - at[0], data[at[0] : at[-1]], model.bits)
     n = len(at) - 1
     out = np.zeros((n, weights.shape[1]))
-    if row.size:
+    if row.size and out.shape[1]:
         first = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1])
         sums = np.stack([np.add.reduceat(weights[:, k][g], first, dtype=np.float64) for k in range(weights.shape[1])], 1)
         out[row[first]] = 30 * sums / np.diff(np.append(first, len(row)))[:, None]
     return out + model.bias
 
 
+def _judged(texts: pa.Array, model: Model, weights: np.ndarray, close: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language (their count: undetermined), score and ambiguity of each text."""
+    at, data = as_bytes(texts)
+    letters = np.fromiter((LETTER.search(str(data[a:b].data, "utf-8")) is not None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), bool, len(at) - 1)
+    best = np.full(len(at) - 1, len(model.languages))
+    top, close_call = np.zeros(len(best)), np.zeros(len(best), bool)
+    if len(model.languages):
+        for i, j in blocks(at):
+            f = _outputs(at[i : j + 1], data, model, weights)
+            loss = (np.logaddexp(0, -f[:, None, :] * model.codes[None]) * model.trust).sum(2) if model.codes.shape[1] else np.zeros((j - i, 1))
+            share = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
+            share /= share.sum(1, keepdims=True)
+            best[i:j], top[i:j] = share.argmax(1), share.max(1)
+            if share.shape[1] > 1:
+                two = np.sort(share, 1)[:, -2:]
+                close_call[i:j] = two[:, 1] - two[:, 0] < close
+    best[~letters], top[~letters], close_call[~letters] = len(model.languages), 0, True
+    return best, top, close_call
+
+
+def _share(docs: DataFrame, model: Model):
+    return docs.sparkSession.sparkContext.broadcast((model, model.weights.astype(np.float32)))  # 2^bits x code bits numbers, whatever the input
+
+
 def predict(docs: DataFrame, model: Model, close: float = 0.1) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous) of every whole text, without a shuffle.
 
     A null text, and one without a letter, is `und` with score 0, and so is every text if nothing was learnt. The
     score is the best language's share of exp(-loss); `ambiguous` is set if the second one's is within `close` of
-    it. Repeated rows give repeated results. A null id is hashed like an empty one and isn't held out.
+    it. Repeated rows give repeated results. A null id isn't held out. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, model.weights.astype(np.float32)))  # 2^bits x code bits numbers, whatever the input
+    shared = _share(docs, model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weights = shared.value
-        names = np.array([*model.languages, UNDETERMINED], object)
+        names = np.array([*shared.value[0].languages, UNDETERMINED], object)
         for batch in batches:
-            at, data = as_bytes(batch.column("t"))
-            letters = np.fromiter((LETTER.search(str(data[a:b].data, "utf-8")) is not None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), bool, len(at) - 1)
-            best = np.full(len(at) - 1, len(model.languages))
-            top, close_call = np.zeros(len(best)), np.zeros(len(best), bool)
-            if len(model.languages):
-                for i, j in blocks(at):
-                    f = _outputs(at[i : j + 1], data, model, weights)
-                    loss = (np.logaddexp(0, -f[:, None, :] * model.codes[None]) * model.trust).sum(2) if model.codes.shape[1] else np.zeros((j - i, 1))
-                    share = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
-                    share /= share.sum(1, keepdims=True)
-                    best[i:j], top[i:j] = share.argmax(1), share.max(1)
-                    if share.shape[1] > 1:
-                        two = np.sort(share, 1)[:, -2:]
-                        close_call[i:j] = two[:, 1] - two[:, 0] < close
-            best[~letters], top[~letters], close_call[~letters] = len(model.languages), 0, True
+            best, top, close_call = _judged(batch.column("t"), *shared.value, close)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(top), pa.array(close_call)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     held = F.coalesce(bucket_of(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
@@ -178,5 +186,17 @@ def predict(docs: DataFrame, model: Model, close: float = 0.1) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose text has a language: `und` goes, ambiguous texts stay."""
+    shared, at = _share(docs, model), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, _, _ = _judged(batch.column(at), *shared.value, 0)
+            yield batch.filter(pa.array(best < len(shared.value[0].languages)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, per_language: int = 600, bits: int = 12) -> DataFrame:
     return predict(docs, fit(docs, per_language, bits))

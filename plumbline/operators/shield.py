@@ -75,8 +75,10 @@ def output_shield(df: DataFrame, output: str = "output", reference: str = "outpu
 def by_instance(model: Callable[[np.ndarray], np.ndarray], df: DataFrame, s: Series, source: str, target: str) -> DataFrame:
     """Adds `target`, a model of whole instances: called with the values in order, it returns as many."""
 
+    order = list(s.order)
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(s.order), kind="stable")
+        rows = rows.sort_values(order, kind="stable")
         out = np.asarray(model(rows[source].to_numpy(dtype=float, na_value=np.nan)), float).ravel()
         if len(out) != len(rows):
             raise ValueError(f"the model returned {len(out)} values for {len(rows)}")

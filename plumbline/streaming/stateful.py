@@ -29,7 +29,7 @@ def stabilized(stream: DataFrame, conf: Stabilizer | None = None) -> DataFrame:
         rows = rows[rows["ts"].astype("datetime64[ns]").astype("int64") >= last]
         out = []
         for x in rows["value"].to_numpy(dtype=float, na_value=np.nan):
-            x = x if np.isfinite(x) else np.nan
+            x = float(x) if np.isfinite(x) else float("nan")
             if p is None:
                 p = m = 0.0 if np.isnan(x) else x
             else:
@@ -54,7 +54,7 @@ def triggered(stream: DataFrame, radius: int = 20) -> DataFrame:
             w = np.array(past)
             if not np.isfinite(x):
                 x = float(np.median(w)) if len(w) else 0.0
-            y = x
+            y = x = float(x)
             if seen >= 2:
                 base, g = w.mean(), w[-1] - w[-2]
                 s = max(float(np.diff(w).std()), 1e-6) if len(w) >= 3 else 1e-6

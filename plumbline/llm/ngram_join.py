@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, blocks, mixed, written
+from plumbline.llm.common import as_bytes, blocks, mixed, trim, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
-#: Entries of the count table, whatever the input: it only orders shingles, so collisions cost time and no result.
-TABLE = 1 << 20
-SLICE = 1 << 15
+#: Least and most entries of the count table. It only orders shingles, so collisions cost time and no result.
+TABLE = (1 << 20, 1 << 26)
+SLICE = 1 << 16
 #: Documents of one block of a product, and bytes of entries that one task sorts.
 BLOCK, TASK_BYTES = 2048, 4 << 20
 
@@ -38,47 +38,57 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("t"))
 
 
-def _scan(docs: DataFrame, words: int) -> DataFrame:
+def table_size(n_bytes: int) -> int:
+    """A power of two with about eight shingles to an entry, within the bounds."""
+    return min(TABLE[1], max(TABLE[0], 1 << int(n_bytes // 48).bit_length()))
+
+
+def _scan(docs: DataFrame, words: int, size: int) -> DataFrame:
     """Rows of documents (doc_id, n, sig: digest of the set), and rows of counts (slice, counts) of each partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(TABLE, np.uint32)
+        table = np.zeros(size, np.uint32)
         for batch in batches:
             for i, h, s in _sets(batch, words):
                 n = np.diff(s)
-                table += np.bincount((h & np.uint64(TABLE - 1)).astype(np.int64), minlength=TABLE).astype(np.uint32)
+                at, times = np.unique(h & np.uint64(size - 1), return_counts=True)
+                table[at] += times.astype(np.uint32)
                 sigs = [hashlib.md5(h[a:b].tobytes()).digest() for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-        k = TABLE // SLICE
-        parts = [table[i * SLICE : (i + 1) * SLICE].tobytes() for i in range(k)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
+        k, few = size // SLICE, np.minimum(table, 255).astype(np.uint8)
+        del table
+        trim()
+        for i in range(0, k, 64):
+            parts = [pa.compress(few[j * SLICE : (j + 1) * SLICE].tobytes(), "zstd", asbytes=True) for j in range(i, min(k, i + 64))]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(range(i, i + len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
 
     names = ["doc_id", "n", "sig", "slice", "counts"]
     return _texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, slice int, counts binary")
 
 
-def _levels(scanned: DataFrame) -> np.ndarray:
-    """Frequency level of each entry of the count table."""
+def _levels(scanned: DataFrame, size: int, total: int) -> np.ndarray:
+    """Frequency level, a byte, of each entry of the count table; a task's counts above 255 count as 255."""
+    usual = total / size
 
     def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLICE, np.uint64)
+        counts = np.zeros(SLICE, np.int64)
         for batch in batches:
             for c in batch.column("counts"):
-                total += np.frombuffer(c.as_buffer(), np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+                counts += np.frombuffer(pa.decompress(c.as_buffer(), SLICE, "zstd"), np.uint8)
+        level = np.minimum(255, np.floor(12 * np.log2(1 + counts / (usual + 1)))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slice", "level"])
 
-    counts = np.zeros(TABLE, np.float64)
-    for r in scanned.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(added, "slice int, counts binary").collect():
-        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint64)
-    usual = counts.mean()
-    return np.floor(3 * np.log2(1 + counts / (4 * usual + 8))).astype(np.uint8)
+    out = np.zeros(size, np.uint8)
+    for r in scanned.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(added, "slice int, level binary").collect():
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["level"], np.uint8)
+    return out
 
 
 def first_shingles(h: np.ndarray, s: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in h of each set's first shingles, seldom ones first, and the set of each."""
     n = np.diff(s)
     row = np.repeat(np.arange(len(n)), n)
-    seldom = level[(h & np.uint64(TABLE - 1)).astype(np.int64)]
+    seldom = level[(h & np.uint64(len(level) - 1)).astype(np.int64)]
     by = np.lexsort((mixed(h), seldom, row))
     rank = np.arange(len(h)) - np.repeat(s[:-1], n)
     take = rank < np.repeat(n + (-n * percent // 100) + 1, n)  # n - ceil(n * percent / 100) + 1
@@ -94,8 +104,8 @@ def _entries(docs: DataFrame, words: int, percent: int, levels, n_buckets: int)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            known = np.asarray(batch.column("doc_id").is_valid())
+            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             held: list[np.ndarray] = []
             for i, h, s in _sets(batch, words):
                 n = np.diff(s)
@@ -103,7 +113,7 @@ def _entries(docs: DataFrame, words: int, percent: int, levels, n_buckets: int)
                 sig = np.array([int.from_bytes(hashlib.md5(h[a:b].tobytes()).digest()[:8], "little") for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)], np.uint64)
                 at, row = at[known[i + row]], row[known[i + row]]
                 e = np.zeros(len(at), ENTRY)
-                e["h"], e["doc"], e["n"], e["sig"] = h[at], ids[i + row].astype(np.int64), n[row], sig[row]
+                e["h"], e["doc"], e["n"], e["sig"] = h[at], ids[i + row], n[row], sig[row]
                 held.append(e)
             if not held:
                 continue
@@ -163,6 +173,8 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
             leader = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
             pairs = np.unique(np.stack([leader, doc], 1), axis=0)
             leaders, docs = pairs[:, 0], pairs[:, 1]
+        del e, held
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(docs, pa.int64())], ["leader", "doc"])
 
     return entries.groupBy("bucket").applyInArrow(run, "leader long, doc long").distinct()
@@ -237,14 +249,16 @@ def _joined(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return np.array([top(x) for x in range(k)])
 
 
-def _products(members: DataFrame, percent: int, n_groups: int) -> DataFrame:
-    """(a, b): links that join the documents of each unit (leader, i, j); a unit's rows come with their sets."""
+def _products(members: DataFrame, words: int, percent: int, n_groups: int) -> DataFrame:
+    """(a, b): links that join the documents of each unit (leader, i, j); a unit's rows come with their texts."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).sort_by([("leader", "ascending"), ("i", "ascending"), ("j", "ascending"), ("doc", "ascending")]).combine_chunks()
         doc = table.column("doc").to_numpy()
-        at, data = as_bytes(table.column("shingles"))
-        at, h = at // 8, data.view("<u8")
+        at, data = as_bytes(table.column("t"))
+        sets = [shingle_sets(at[i : j + 1], data, words) for i, j in blocks(at)]
+        h = np.concatenate([x for x, _ in sets])
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(s) for _, s in sets]))])
         unit = np.stack([table.column(c).to_numpy() for c in ("leader", "i", "j")], 1)
         half = table.column("half").to_numpy()
         cut = np.concatenate([[0], np.nonzero((unit[1:] != unit[:-1]).any(1))[0] + 1, [len(unit)]])
@@ -258,6 +272,7 @@ def _products(members: DataFrame, percent: int, n_groups: int) -> DataFrame:
                     left.append(doc[x:y][root[own]])
                     right.append(doc[x:y][own])
         left, right = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (left, right))
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     dealt = members.withColumn("group", F.pmod(F.xxhash64("leader", "i", "j"), F.lit(n_groups)))
@@ -274,10 +289,12 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     null id takes its class's component (null if the class has no id). Other columns are ignored.
     """
     spark = docs.sparkSession
-    scanned = written(_scan(docs, words), "scan")
+    n_bytes = docs.select(F.octet_length(F.col("text").cast("string")).alias("n")).agg(F.sum("n")).first()[0] or 0
+    size = table_size(n_bytes)
+    scanned = written(_scan(docs, words, size), "scan")
     rows = scanned.where("slice is null").select("doc_id", "n", "sig")
     total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
-    level = spark.sparkContext.broadcast(_levels(scanned))  # TABLE bytes, whatever the input
+    level = spark.sparkContext.broadcast(_levels(scanned, size, total))  # a byte an entry, TABLE[1] bytes at most
     n_buckets = max(16, int(total * (101 - percent) / 100) * ENTRY.itemsize // TASK_BYTES)
     met = written(_met(_entries(docs, words, percent, level, n_buckets), percent), "met")
     sizes = met.groupBy("leader").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
@@ -288,17 +305,10 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         "leader", "doc", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("half")
     )
 
-    def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, h, s in _sets(batch, words):
-                sets = [h[a:b].tobytes() for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(sets)), pa.array(sets, pa.binary())], ["doc", "shingles"])
-
-    wanted = met.select("doc").distinct()
     texts = _texts(docs).dropna(subset=["doc_id"])
-    sets = texts.join(wanted, texts["doc_id"] == wanted["doc"], "left_semi").mapInArrow(full, "doc long, shingles binary")
+    members = units.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
     n_groups = max(16, met.count() // 500)
-    edges = _products(units.join(sets, "doc"), percent, n_groups)
+    edges = _products(members, words, percent, n_groups)
     found = components(edges)
     reps = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("class_component"))

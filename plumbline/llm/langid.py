@@ -112,18 +112,18 @@ def train(languages: tuple[str, ...], label: np.ndarray, x: np.ndarray, bits: in
     n_bits = codes.shape[1]
     if not n_bits or not len(x):
         return Model(languages, codes, np.zeros((1 << bits, n_bits)), np.zeros(n_bits), np.ones(n_bits), bits)
-    x = 30 * x / np.maximum(x.sum(1, keepdims=True), 1)
-    y = codes[label]
+    x = (30 * x / np.maximum(x.sum(1, keepdims=True), 1)).astype(np.float32)  # single precision throughout, or BLAS would copy x in each step
+    y = codes[label].astype(np.float32)
     share = np.bincount(label, minlength=len(languages))[label]
-    each = (1 / np.maximum(share, 1))[:, None]
+    each = (1 / np.maximum(share, 1))[:, None].astype(np.float32)
     each /= each.sum()
-    w, v, b = np.zeros((x.shape[1], n_bits)), np.zeros((x.shape[1], n_bits)), np.zeros(n_bits)
-    step = 4 / max(1e-9, float((each * (x * x).sum(1, keepdims=True)).sum() + 1))
+    w, v, b = np.zeros((x.shape[1], n_bits), np.float32), np.zeros((x.shape[1], n_bits), np.float32), np.zeros(n_bits, np.float32)
+    step = np.float32(4) / max(1e-9, float((each * (x * x).sum(1, keepdims=True)).sum() + 1))
     for k in range(rounds):
         g = each * (-y / (1 + np.exp(np.clip(y * (x @ v + b), -30, 30))))
-        new = v - step * (x.T @ g + 1e-6 * v)
-        b = b - step * g.sum(0)
-        v = new + k / (k + 3) * (new - w)
+        new = v - np.float32(step) * (x.T @ g + np.float32(1e-6) * v)
+        b = b - np.float32(step) * g.sum(0)
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     right = ((np.sign(x @ w + b) == y) * each).sum(0)
     trust = np.log(np.clip(right, 0.5, 1 - 1e-3) / (1 - np.clip(right, 0.5, 1 - 1e-3))) + 1e-3

@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, blocks, mixed, written
+from plumbline.llm.common import as_bytes, blocks, mixed, scaled_partitions, scratch, trim, written
 
 #: Bytes of text in a batch, bytes of hashes and of pieces that one task sorts, windows of a piece at most.
-BATCH_BYTES, HASH_BYTES, PIECE_BYTES, PIECE = 4 << 20, 12 << 20, 6 << 20, 32
+BATCH_BYTES, HASH_BYTES, PIECE_BYTES, PIECE = 12 << 20, 12 << 20, 6 << 20, 32
 SEED_BYTES = 16
 
 
@@ -116,7 +116,7 @@ def shared_windows(text: np.ndarray, start: np.ndarray, doc: np.ndarray, least:
 
 
 def _batches(docs: DataFrame) -> DataFrame:
-    """(batch, ids, sizes, text): rows of about BATCH_BYTES of texts, packed; a longer text is a row of its own."""
+    """(batch, volume, ids, sizes, text): rows of about BATCH_BYTES of texts, packed; a longer text is a row of its own."""
 
     def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -124,7 +124,7 @@ def _batches(docs: DataFrame) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             sizes = np.array(list(map(len, texts)), np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes], pa.binary()), pa.array([_codec(b"".join(texts))], pa.binary())], ["batch", "ids", "sizes", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([held], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes], pa.binary()), pa.array([_codec(b"".join(texts))], pa.binary())], ["batch", "volume", "ids", "sizes", "text"])
 
         for batch in source:
             for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True):
@@ -138,7 +138,7 @@ def _batches(docs: DataFrame) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").cast("binary").alias("t")).dropna()
-    return rows.mapInArrow(run, "batch long, ids binary, sizes binary, text binary")
+    return rows.mapInArrow(run, "batch long, volume long, ids binary, sizes binary, text binary")
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,6 +192,8 @@ def _hashes(batches: DataFrame, least: int, n_buckets: int) -> DataFrame:
                     ],
                     ["bucket", "batch", "once", "more"],
                 )
+                del data, h, doc
+                trim()
 
     return batches.mapInArrow(run, "bucket long, batch long, once binary, more binary")
 
@@ -221,17 +223,15 @@ def _shared(hashes: DataFrame) -> DataFrame:
         h, owner = h[by], owner[by]
         edge = np.searchsorted(owner, np.arange(len(names) + 1))
         some = np.nonzero(np.diff(edge))[0].tolist()
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.int64()), pa.array([_six(h[edge[i] : edge[i + 1]]) for i in some], pa.binary())], ["batch", "hashes"])
 
     return hashes.groupBy("bucket").applyInArrow(run, "batch long, hashes binary")
 
 
-PARTS = "kind int, bucket long, batch long, body binary, ids binary, sizes binary, text binary"
-
-
 def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -> DataFrame:
-    """Rows of kind 0, for each batch and bucket: the different pieces with shared hashes and the least document of
-    each; and of kind 1, for each batch: its documents that have such pieces, and where."""
+    """(batch, bucket, body): for each batch and bucket the different pieces with shared hashes and the least document
+    of each; and for each batch, with no bucket, where its pieces are."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -259,42 +259,52 @@ def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -
                 np.minimum.at(low, own, ids[doc[rows]])
                 number[rows], lowest[rows] = own, low[own]
                 sizes = np.fromiter(map(len, seen), "<u2", len(seen))
-                out.append((0, int(bucket[rows[0]]), batch, _codec(len(seen).to_bytes(8, "little") + sizes.tobytes() + low.tobytes() + b"".join(seen)), None, None, None))
-            docs, local = np.unique(doc, return_inverse=True)
-            where = np.stack([local, start - at[doc], count, bucket, number, (ids[doc] > lowest).astype(np.int64)]).astype("<i4")
-            text = b"".join(raw[at[d] : at[d + 1]] for d in docs.tolist())
-            out.append((1, None, batch, _codec(where.tobytes()), ids[docs].tobytes(), np.diff(at)[docs].tobytes(), _codec(text)))
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "bucket", "batch", "body", "ids", "sizes", "text"), columns, kinds, strict=True)})
+                out.append((batch, int(bucket[rows[0]]), _codec(len(seen).to_bytes(8, "little") + sizes.tobytes() + low.tobytes() + b"".join(seen))))
+            where = np.stack([np.diff(start, prepend=0), count, bucket, number, (ids[doc] > lowest).astype(np.int64)])
+            out.append((batch, None, _codec(where.astype("<i4").tobytes())))
+            trim()
+        columns = list(zip(*out, strict=True)) if out else [()] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("batch", "bucket", "body"), columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
-    return batches.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, PARTS)
+    return batches.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, "batch long, bucket long, body binary")
 
 
 def _masks(parts: DataFrame, least: int) -> DataFrame:
-    """(batch, bucket, masks): of each piece of a batch, which of its windows a smaller document has."""
+    """(batch, bucket, body): of each piece of a batch, which of its windows a smaller document has. Pieces that many
+    batches have are expanded once, with the least document of all."""
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, number, sizes, low, texts = [], [], [], [], []
+        seen: dict[bytes, int] = {}
+        names, number, own, low = [], [], [], []
         for batch in source:
             for k in range(batch.num_rows):
-                raw = _plain(batch.column("body")[k].as_buffer())
-                n = int.from_bytes(raw[:8].tobytes(), "little")
+                raw = _plain(batch.column("body")[k].as_buffer()).tobytes()
+                n = int.from_bytes(raw[:8], "little")
+                ends = 8 + 10 * n + np.cumsum(np.frombuffer(raw, "<u2", n, 8).astype(np.int64))
                 names.append(batch.column("batch")[k].as_py())
                 number.append(n)
-                sizes.append(raw[8 : 8 + 2 * n].view("<u2"))
-                low.append(np.frombuffer(raw[8 + 2 * n : 8 + 10 * n].tobytes(), np.int64))
-                texts.append(raw[8 + 10 * n :])
-        size, doc, text = np.concatenate(sizes).astype(np.int64), np.concatenate(low), np.concatenate(texts)
+                low.append(np.frombuffer(raw, "<i8", n, 8 + 2 * n))
+                at = 8 + 10 * n
+                for e in ends.tolist():
+                    own.append(seen.setdefault(raw[at:e], len(seen)))
+                    at = e
+        own, low = np.array(own, np.int64), np.concatenate(low)
+        first = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(first, own, low)
+        size = np.fromiter(map(len, seen), np.int64, len(seen))
+        text = np.frombuffer(b"".join(seen), np.uint8)
         count = size - least + 1
         piece = np.repeat(np.arange(len(size)), count)
         inner = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-        smaller = shared_windows(text, (np.cumsum(size) - size)[piece] + inner, doc[piece], least)
+        smaller = shared_windows(text, (np.cumsum(size) - size)[piece] + inner, first[piece], least)
         masks = np.bincount(piece, weights=np.where(smaller, 2.0**inner, 0), minlength=len(size)).astype("<u4")
+        masks = np.where(low > first[own], np.uint32(0xFFFFFFFF), masks[own]).astype("<u4")
         edge = np.concatenate([[0], np.cumsum(number)])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([key[0].as_py()] * len(names), pa.int64()), pa.array([masks[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["batch", "bucket", "masks"])
+        del seen, text, piece, inner, smaller
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([key[0].as_py()] * len(names), pa.int64()), pa.array([masks[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["batch", "bucket", "body"])
 
-    return parts.where("kind = 0").select("bucket", "batch", "body").groupBy("bucket").applyInArrow(run, "batch long, bucket long, masks binary")
+    return parts.where("bucket is not null").select("bucket", "batch", "body").groupBy("bucket").applyInArrow(run, "batch long, bucket long, body binary")
 
 
 def covered(marks: np.ndarray, least: int) -> np.ndarray:
@@ -303,53 +313,64 @@ def covered(marks: np.ndarray, least: int) -> np.ndarray:
     return total[least:] > total[:-least]
 
 
-def _cut(parts: DataFrame, masks: DataFrame, least: int, keep_text: bool) -> DataFrame:
+def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, keep_text: bool) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        if left.num_rows:
-            row = {c: left.column(c)[0] for c in ("ids", "sizes", "text")}
-            ids, at, data = _opened(row)
-            where = np.frombuffer(_plain(left.column("body")[0].as_buffer()), "<i4").reshape(6, -1)
-            local, start, count, bucket, number, later = (w.astype(np.int64) for w in where)
-            mask = np.zeros(len(local), np.uint64)
+        where = [b for k, b in zip(right.column("bucket").to_pylist(), right.column("body"), strict=True) if k is None]
+        if left.num_rows and where:
+            ids, at, data = _opened({c: left.column(c)[0] for c in ("ids", "sizes", "text")})
+            start, count, bucket, number, later = np.frombuffer(_plain(where[0].as_buffer()), "<i4").reshape(5, -1).astype(np.int64)
+            start = np.cumsum(start)
+            mask = np.zeros(len(start), np.uint64)
             by = np.argsort(bucket, kind="stable")
             ordered = bucket[by]
-            for b, m in zip(right.column("bucket").to_pylist(), right.column("masks"), strict=True):
-                rows = by[np.searchsorted(ordered, b) : np.searchsorted(ordered, b, "right")]
-                mask[rows] = np.frombuffer(m.as_buffer(), "<u4")[number[rows]]
-            mask[later > 0] = np.uint64((1 << PIECE) - 1)  # the piece's least document has all of it
+            for b, m in zip(right.column("bucket").to_pylist(), right.column("body"), strict=True):
+                if b is not None:
+                    rows = by[np.searchsorted(ordered, b) : np.searchsorted(ordered, b, "right")]
+                    mask[rows] = np.frombuffer(m.as_buffer(), "<u4")[number[rows]]
+            mask[later > 0] = np.uint64((1 << PIECE) - 1)  # the piece's least document in the batch has all of it
+            some = np.nonzero(mask)[0]
+            count, mask, start = count[some], mask[some], start[some]
             piece = np.repeat(np.arange(len(count)), count)
             inner = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-            place = (at[local] + start)[piece] + inner
             marks = np.zeros(len(data), bool)
-            marks[place[(mask[piece] >> inner.astype(np.uint64) & np.uint64(1)) > 0]] = True
-            for i, d in enumerate(ids.tolist()):
+            marks[(start[piece] + inner)[(mask[piece] >> inner.astype(np.uint64) & np.uint64(1)) > 0]] = True
+            for i in np.unique(np.searchsorted(at, np.nonzero(marks)[0], "right") - 1).tolist():
                 text, gone = data[at[i] : at[i + 1]], covered(marks[at[i] : at[i + 1]], least)
-                n = int(gone.sum())
-                if n:
-                    kept = text[~gone].tobytes()
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    out.append((d, len(text), hashlib.sha256(text.tobytes()).digest(), n, spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-        kinds = {"d": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+                kept = text[~gone].tobytes()
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((int(ids[i]), len(text), hashlib.sha256(text).digest(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
+        trim()
+        kinds = {"d": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
         columns = list(zip(*out, strict=True)) if out else [()] * 7
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns, strict=True)})
 
-    schema = "d long, n long, sig binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return parts.where("kind = 1").groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(run, schema)
+    schema = "d long, n long, sig binary, n_removed long, n_spans long, kept_sha256 string, kept string"
+    told = parts.where("bucket is null").unionByName(masks)
+    return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, schema)
+
+
+def _kept_by_batch(batches: DataFrame) -> tuple[DataFrame, int]:
+    """The batches as a table that is bucketed by batch, in the shared folder, so that no later step shuffles texts;
+    and the bytes of their texts."""
+    spark = batches.sparkSession
+    path = scratch(spark, "batches")
+    name = path.rpartition("/")[2].replace("-", "_")
+    batches.write.option("path", path).option("compression", "none").bucketBy(scaled_partitions(spark, 16), "batch").saveAsTable(name)
+    table = spark.table(name)
+    return table, int(table.agg(F.sum("volume")).first()[0] or 0)
 
 
 def repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) -> DataFrame:
     """Documents of which something goes, in one row for each of their texts: (d, n, sig, n_removed, n_spans,
-    kept_sha256, kept)."""
+    kept_sha256, kept). `kept`, if asked for, leaves out characters of which only some bytes remain."""
     if least < 4:
         raise ValueError("the least length is 4 bytes")
-    batches = written(_batches(docs), "batches")
-    volume = batches.agg(F.sum(F.length("ids") / 8).alias("docs"), F.count("*").alias("rows")).first()
-    size = (volume["rows"] or 0) * BATCH_BYTES
+    batches, size = _kept_by_batch(_batches(docs))
     n_hash, n_piece = max(8, size // 3 // HASH_BYTES), max(16, size // PIECE_BYTES)
     shared = written(_shared(_hashes(batches, least, n_hash)), "shared")
     parts = written(_parted(batches, shared, least, n_piece), "pieces")
-    return _cut(parts, _masks(parts, least), least, keep_text).distinct()
+    return _cut(batches, parts, _masks(parts, least), least, keep_text).distinct()
 
 
 def dedup(docs: DataFrame, least: int = 50) -> DataFrame:

@@ -34,24 +34,25 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
 
     Exact: all candidates if there are fewer than k. Rows with a null id or code take no part; repeated rows of an
     id count once. Of equal codes only the k + 1 smallest ids can be in any result, so the others leave the index
-    before it is built, however many they are. Each round reads the open queries alone and writes the best so far
-    to the shared folder.
+    before it is built, however many they are. Each round reads the open queries alone, looks for codes no farther
+    than the k-th so far, and writes the best to the shared folder.
     """
     spark = codes.sparkSession
     rows = codes.select(F.col(id_column).cast("long").alias("vec_id"), F.col(code_column).cast("long").alias("code")).dropna().distinct()
     nth = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
     index = rows.withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n")
     by_segment = written(index.select("vec_id", "code", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("seg")).withColumn("key", segment(F.col("code"), F.col("seg"))), "codes")
-    open_ = queries.select(F.col(id_column).cast("long").alias("query_id"), F.col(code_column).cast("long").alias("query")).dropna().distinct()
-    open_ = written(open_, "queries")
+    asked = queries.select(F.col(id_column).cast("long").alias("query_id"), F.col(code_column).cast("long").alias("query")).dropna().distinct()
+    open_ = written(asked.withColumn("bound", F.lit(SEGMENTS * WIDTH)), "queries")
     best, done = None, None
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    between = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
     for r in range(WIDTH + 1):
         masks = F.expr(f"filter(sequence(0, {(1 << WIDTH) - 1}), x -> bit_count(x) = {r})")
-        probes = open_.select("query_id", "query", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("seg"))
-        probes = probes.select("query_id", "query", "seg", F.explode(masks).alias("mask")).withColumn("key", segment(F.col("query"), F.col("seg")).bitwiseXOR(F.col("mask")))
-        met = probes.join(by_segment, ["seg", "key"]).where(F.col("vec_id") != F.col("query_id"))
-        met = met.select("query_id", "vec_id", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+        probes = open_.select("query_id", "query", "bound", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("seg"))
+        probes = probes.select("query_id", "query", "bound", "seg", F.explode(masks).alias("mask")).withColumn("key", segment(F.col("query"), F.col("seg")).bitwiseXOR(F.col("mask")))
+        # codes beyond a query's k-th distance so far can't be in its result; the join itself leaves them out
+        met = probes.join(by_segment, ["seg", "key"]).where((F.col("vec_id") != F.col("query_id")) & (between <= F.col("bound"))).select("query_id", "vec_id", between.alias("distance"))
         found = met.distinct() if best is None else met.unionByName(best.join(open_.select("query_id"), "query_id")).distinct()
         best = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), f"radius{r}")
         kth = best.groupBy("query_id").agg(F.max("distance").alias("far"), F.count("*").alias("n"))
@@ -59,7 +60,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
         closed = kth.where((F.col("n") >= k) & (F.col("far") <= covered)) if r < WIDTH else kth
         result = best.join(closed.select("query_id"), "query_id")
         done = result if done is None else done.unionByName(result)
-        open_ = written(open_.join(closed.select("query_id"), "query_id", "left_anti"), f"open{r}")
+        rest = open_.drop("bound").join(closed.select("query_id"), "query_id", "left_anti").join(kth, "query_id", "left")
+        open_ = written(rest.select("query_id", "query", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(SEGMENTS * WIDTH)).alias("bound")), f"open{r}")
         if open_.isEmpty():
             break
     return done.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "distance")

@@ -83,7 +83,8 @@ def patched(template: DataFrame, params: DataFrame, key: str, order: str, op: st
 
 
 def row_blocks(df: DataFrame, order: str, size: int, key: tuple[str, ...] = ()) -> DataFrame:
-    """Adds `block`: rows in order, `size` to a block, the last one short."""
+    """Adds `block`: rows in order, `size` to a block, the last one short. Without a key one task numbers all rows,
+    so give large tables one."""
     if size < 1:
         raise ValueError("block size must be positive")
     over = Window.partitionBy(*key).orderBy(order) if key else Window.orderBy(order)

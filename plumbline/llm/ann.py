@@ -131,6 +131,16 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
+def _ranked(row: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each of n rows the k largest scores, ties to the smaller id."""
+    row, ids, score = row[keep], ids[keep], score[keep]
+    by = np.lexsort((ids, -score, row))
+    edge = np.searchsorted(row[by], np.arange(n + 1))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        some = by[a : min(b, a + k)]
+        yield ids[some], score[some]
+
+
 @dataclass(frozen=True)
 class Settings:
     rows_per_list: int = 256
@@ -138,8 +148,8 @@ class Settings:
     sample_per_list: int = 8  # the sample has at most max_lists x sample_per_list vectors
     copies: int = 4  # lists of a vector near borders
     closure: float = 1.3  # distance ratio of its lists
-    reach: float = 1.18  # distance ratio of the lists a query reads
-    least_lists: int = 24
+    reach: float = 1.12  # distance ratio of the lists a query reads
+    least_lists: int = 32
     block: int = 4096  # vectors, and queries, that one task compares at a time
 
 
@@ -213,30 +223,38 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     right = probes.join(F.broadcast(dealt), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), "parts").cast("int").alias("part"), "query_id", "q")
 
     def compared(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        """The best of one block of a list for each of its queries, a row each."""
+        asked, best_ids, best_scores = np.zeros(0, np.int64), [], []
         if left.num_rows and right.num_rows:
-            v, ids = vectors_of(left, "v") if isinstance(left, pa.RecordBatch) else vectors_of(left.combine_chunks().to_batches()[0], "v"), left.column("vec_id").to_numpy()
+            v, ids = vectors_of(left.combine_chunks().to_batches()[0], "v"), left.column("vec_id").to_numpy()
             q, asked = vectors_of(right.combine_chunks().to_batches()[0], "q"), right.column("query_id").to_numpy()
             some = min(len(v), k + 12)
             for i in range(0, len(q), 128):
                 near = q[i : i + 128] @ v.T
                 top = np.argpartition(-near, some - 1, 1)[:, :some]
-                r = np.repeat(np.arange(len(top)), some)
-                c = top.ravel()
+                r, c = np.repeat(np.arange(len(top)), some), top.ravel()
                 score = np.einsum("ij,ij->i", q[i : i + 128][r], v[c])
-                other = ids[c] != asked[i : i + 128][r]
-                r, c, score = r[other], c[other], score[other]
-                by = np.lexsort((ids[c], -score, r))
-                r, c, score = r[by], c[by], score[by]
-                first = np.concatenate([[0], np.nonzero(np.diff(r))[0] + 1]) if len(r) else np.zeros(0, int)
-                place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
-                keep = place < k
-                out.append((asked[i : i + 128][r[keep]], ids[c[keep]], score[keep]))
-        parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(parts[0], pa.int64()), "vec_id": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
+                for ids_, scores_ in _ranked(r, ids[c], score, ids[c] != asked[i : i + 128][r], len(top), k):
+                    best_ids.append(ids_)
+                    best_scores.append(scores_)
+        return pa.table({"query_id": pa.array(asked, pa.int64()), "ids": pa.array(best_ids, pa.list_(pa.int64())), "scores": pa.array(best_scores, pa.list_(pa.float64()))})
+
+    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        sizes = table.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        asked, row = np.unique(np.repeat(table.column("query_id").to_numpy(), sizes), return_inverse=True)
+        ids, score = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "scores"))
+        by = np.lexsort((ids, row))
+        row, ids, score = row[by], ids[by], score[by]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])
+        best = list(_ranked(row, ids, score, new, len(asked), k))
+        sizes = np.array([len(x) for x, _ in best], np.int64)
+        place = np.concatenate([np.arange(1, n + 1) for n in sizes]) if len(sizes) else np.zeros(0, int)
+        flat = [np.concatenate([x[i] for x in best]) if best else np.zeros(0) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, sizes), pa.int64()), pa.array(place, pa.int32()), pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.float64())], ["query_id", "rank", "vec_id", "score"])
 
     keys = ["list", "block", "part"]
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    near = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return near.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compared, "query_id long, ids array<long>, scores array<double>")
+    groups = max(16, probes.count() // 4096)
+    return met.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("group").applyInArrow(merged, schema)

@@ -25,18 +25,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of repeated rows one stays. Rows without an id can't be told apart by one and go with their group.
     """
     first = written(ngram_join.join(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "first")
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = docs.hint("merge").join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)  # one plan at every size
     return kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 50 bytes or more that documents with smaller ids have; emptied ones go."""
-    gone = suffix_dedup.repeats(docs, keep_text=True).select(F.col("d").alias("_id"), F.lower(F.hex("sig")).alias("_sig"), F.col("kept").alias("_kept"))
-    both = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sig")), "left")
-    text = F.coalesce("_kept", "text")
-    cut = both.where(F.col("_kept").isNull() | (F.length("_kept") > 0))
-    n_chars = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept")).cast("long")
-    return cut.select(*(text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    return suffix_dedup.cleaned(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

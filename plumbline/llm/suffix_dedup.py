@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.llm.common import as_bytes, blocks, mixed, scaled_partitions, scratch, trim, written
 
@@ -115,30 +117,46 @@ def shared_windows(text: np.ndarray, start: np.ndarray, doc: np.ndarray, least:
     return smaller
 
 
-def _batches(docs: DataFrame) -> DataFrame:
-    """(batch, volume, ids, sizes, text): rows of about BATCH_BYTES of texts, packed; a longer text is a row of its own."""
+def _batches(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(batch, volume, ids, sizes, text): rows of about BATCH_BYTES of texts, packed; a longer text is a row of its own.
+    carry: `rows` has all columns of the documents but their texts."""
 
     def run(source: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        ids, texts, held = [], [], 0
+        ids, texts, held, others = [], [], 0, []
 
         def row() -> pa.RecordBatch:
             sizes = np.array(list(map(len, texts)), np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([held], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes], pa.binary()), pa.array([_codec(b"".join(texts))], pa.binary())], ["batch", "volume", "ids", "sizes", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | k], pa.int64()), pa.array([held], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes], pa.binary()), pa.array([_codec(b"".join(texts))], pa.binary()), pa.array([_stored(others) if others else None], pa.binary())], ["batch", "volume", "ids", "sizes", "text", "rows"])
 
         for batch in source:
-            for d, t in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            plain, first = batch.drop_columns(["d", "t"]), 0
+            for i, (d, t) in enumerate(zip(batch.column("d").to_pylist(), batch.column("t").to_pylist(), strict=True)):
                 ids.append(d)
                 texts.append(t)
                 held += len(t)
                 if held >= BATCH_BYTES:
+                    if carry:
+                        others.append(plain.slice(first, i + 1 - first))
                     yield row()
-                    ids, texts, held, k = [], [], 0, k + 1
+                    ids, texts, held, others, first, k = [], [], 0, [], i + 1, k + 1
+            if carry and first < batch.num_rows:
+                others.append(plain.slice(first))
         if ids:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").cast("binary").alias("t")).dropna()
-    return rows.mapInArrow(run, "batch long, volume long, ids binary, sizes binary, text binary")
+    others = [F.col(c).alias(f"c_{c}") for c in docs.columns if c != "text"] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").cast("binary").alias("t"), *others).dropna(subset=["d", "t"])
+    return rows.mapInArrow(run, "batch long, volume long, ids binary, sizes binary, text binary, rows binary")
+
+
+def _stored(parts: list[pa.RecordBatch]) -> bytes:
+    """Rows as one Arrow stream."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        for p in parts:
+            w.write_batch(p)
+    return out.getvalue().to_pybytes()
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,9 +331,13 @@ def covered(marks: np.ndarray, least: int) -> np.ndarray:
     return total[least:] > total[:-least]
 
 
-def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, keep_text: bool) -> DataFrame:
+def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, like: StructType | None = None) -> DataFrame:
+    """What is left of documents of which something goes; with `like`, a documents' schema, all rows of the batches
+    with the texts that are left."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
+        kept_of: dict[int, str] = {}
         where = [b for k, b in zip(right.column("bucket").to_pylist(), right.column("body"), strict=True) if k is None]
         if left.num_rows and where:
             ids, at, data = _opened({c: left.column(c)[0] for c in ("ids", "sizes", "text")})
@@ -339,13 +361,29 @@ def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, kee
                 text, gone = data[at[i] : at[i + 1]], covered(marks[at[i] : at[i + 1]], least)
                 kept = text[~gone].tobytes()
                 spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((int(ids[i]), len(text), hashlib.sha256(text).digest(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
+                if like is None:
+                    out.append((int(ids[i]), len(text), hashlib.sha256(text).digest(), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+                else:
+                    kept_of[i] = kept.decode("utf-8", "ignore")
+        if like is not None:
+            return carried(left, kept_of)
         trim()
-        kinds = {"d": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
+        kinds = {"d": pa.int64(), "n": pa.int64(), "sig": pa.binary(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
         return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns, strict=True)})
 
-    schema = "d long, n long, sig binary, n_removed long, n_spans long, kept_sha256 string, kept string"
+    def carried(left: pa.Table, kept_of: dict[int, str]) -> pa.Table:
+        arrow = to_arrow_schema(like)
+        if not left.num_rows:
+            return arrow.empty_table()
+        ids, at, data = _opened({c: left.column(c)[0] for c in ("ids", "sizes", "text")})
+        others = pa.ipc.open_stream(left.column("rows")[0].as_buffer()).read_all()
+        texts = [kept_of[i] if i in kept_of else str(data[at[i] : at[i + 1]].data, "utf-8") for i in range(len(ids))]
+        table = pa.table({f.name: pa.array(texts, f.type) if f.name == "text" else others.column(f"c_{f.name}").cast(f.type) for f in arrow})
+        trim()
+        return table.filter(pa.array([kept_of.get(i) != "" for i in range(len(ids))]))  # what was emptied goes
+
+    schema = like if like is not None else "d long, n long, sig binary, n_removed long, n_spans long, kept_sha256 string"
     told = parts.where("bucket is null").unionByName(masks)
     return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, schema)
 
@@ -361,16 +399,31 @@ def _kept_by_batch(batches: DataFrame) -> tuple[DataFrame, int]:
     return table, int(table.agg(F.sum("volume")).first()[0] or 0)
 
 
-def repeats(docs: DataFrame, least: int = 50, keep_text: bool = False) -> DataFrame:
-    """Documents of which something goes, in one row for each of their texts: (d, n, sig, n_removed, n_spans,
-    kept_sha256, kept). `kept`, if asked for, leaves out characters of which only some bytes remain."""
+def _found(docs: DataFrame, least: int, carry: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The packed texts, the pieces that documents share, and which of their windows a smaller document has."""
     if least < 4:
         raise ValueError("the least length is 4 bytes")
-    batches, size = _kept_by_batch(_batches(docs))
+    batches, size = _kept_by_batch(_batches(docs, carry))
     n_hash, n_piece = max(8, size // 3 // HASH_BYTES), max(16, size // PIECE_BYTES)
     shared = written(_shared(_hashes(batches, least, n_hash)), "shared")
     parts = written(_parted(batches, shared, least, n_piece), "pieces")
-    return _cut(batches, parts, _masks(parts, least), least, keep_text).distinct()
+    return batches, parts, _masks(parts, least)
+
+
+def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
+    """Documents of which something goes, in one row for each of their texts: (d, n, sig, n_removed, n_spans,
+    kept_sha256)."""
+    return _cut(*_found(docs, least, False), least).distinct()
+
+
+def cleaned(docs: DataFrame, least: int = 50) -> DataFrame:
+    """The rows with what is left of their texts (column `text`), without a shuffle of texts.
+
+    Characters of which only some bytes remain go too, and so do documents with nothing left. Rows with a null id or
+    text stay as they are. Other columns pass through.
+    """
+    rest = docs.where(F.col("doc_id").isNull() | F.col("text").isNull())
+    return _cut(*_found(docs, least, True), least, docs.schema).unionByName(rest)
 
 
 def dedup(docs: DataFrame, least: int = 50) -> DataFrame:

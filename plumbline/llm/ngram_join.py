@@ -306,7 +306,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     )
 
     texts = _texts(docs).dropna(subset=["doc_id"])
-    members = units.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    # one plan at every size: which documents are candidates is known by id alone, and both sides are dealt by it
+    members = units.hint("merge").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
     n_groups = max(16, met.count() // 500)
     edges = _products(members, words, percent, n_groups)
     found = components(edges)

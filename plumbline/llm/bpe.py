@@ -248,12 +248,14 @@ class ByteBPE:
             out[i] = np.array(self.exact(words[i]), "<u4").tobytes()
         return out
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Adds what follows a blank to the cache; all unknown words go through one vectorised test.
+    def _learn(self, pieces: Iterable[str], starts: Iterable[str]) -> None:
+        """Adds what follows a blank, and the words of what texts begin with, to the caches; all unknown words go
+        through one vectorised test.
 
         Pieces of letters alone are words as they stand, and so is what precedes one closing mark; others are matched.
         """
-        plain, cut, others = set(), [], set()
+        plain, cut = set(), []
+        others = {w for p in starts for w in self.words.findall(p) if w not in self.word_ids}
         for p in pieces:
             if p.isalpha():
                 plain.add(p)
@@ -277,11 +279,8 @@ class ByteBPE:
             self.later[p] = b"".join([self.later[w[1:]] if w[0] == " " and w[1:].isalpha() else self.word_ids[w] for w in ws])
 
     def _start(self, piece: str) -> bytes:
-        """Ids of what a text begins with."""
-        ws = self.words.findall(piece)
-        new = [w for w in dict.fromkeys(ws) if w not in self.word_ids]
-        self.word_ids.update(zip(new, self.encode_words([w.encode() for w in new]), strict=True))
-        return b"".join([self.word_ids[w] for w in ws])
+        """Ids of what a text begins with, once its words are known."""
+        return b"".join([self.word_ids[w] for w in self.words.findall(piece)])
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -289,7 +288,7 @@ class ByteBPE:
             if len(cache) > self.limit:
                 for k in list(islice(cache, self.limit // 2)):
                     del cache[k]
-        cut, unknown, later = [], set(), self.later
+        cut, unknown, starts, later = [], set(), set(), self.later
         for text in texts:
             parts = [text] if not self.special or not any(s in text for s in self.special) else self.special_at.split(text)
             row = []
@@ -303,9 +302,10 @@ class ByteBPE:
                     pieces = LONE_BLANK.split(part)
                     new = set(pieces[1:]).difference(later)
                 unknown |= new
+                starts.add(pieces[0])
                 row.append(pieces)
             cut.append(row)
-        self._learn(unknown)
+        self._learn(unknown, starts)
         get = later.__getitem__
         return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else self._start(x[0]) + b"".join(map(get, x[1:])) for x in row) for row in cut]
 

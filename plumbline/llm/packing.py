@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.bpe import encoded_blocks, tokenizer
 from plumbline.llm.common import written
 
+#: Partitions of the first pass (16 bytes each) up to which their offsets are broadcast; a join is used beyond.
+BROADCAST_ROWS = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -49,7 +51,9 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> Dat
         raise ValueError("window must be positive")
     counted = written(_counted(docs, path, end_id), "packing")
     totals = counted.groupBy("part").agg(F.sum("n").alias("n"))  # one row for each partition of the first pass
-    bases = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    bases = written(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")), "bases")
+    if bases.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = "<u2" if tokenizer(path).size <= 1 << 16 else "<u4"

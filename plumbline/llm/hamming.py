@@ -52,7 +52,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
         probes = open_.select("query_id", "query", "bound", F.explode(F.array(*map(F.lit, range(SEGMENTS)))).alias("seg"))
         probes = probes.select("query_id", "query", "bound", "seg", F.explode(masks).alias("mask")).withColumn("key", segment(F.col("query"), F.col("seg")).bitwiseXOR(F.col("mask")))
         # codes beyond a query's k-th distance so far can't be in its result; the join itself leaves them out
-        met = probes.join(by_segment, ["seg", "key"]).where((F.col("vec_id") != F.col("query_id")) & (between <= F.col("bound"))).select("query_id", "vec_id", between.alias("distance"))
+        # planners take an explode for a small table; both sides are dealt by segment and key
+        met = probes.hint("merge").join(by_segment, ["seg", "key"]).where((F.col("vec_id") != F.col("query_id")) & (between <= F.col("bound"))).select("query_id", "vec_id", between.alias("distance"))
         found = met.distinct() if best is None else met.unionByName(best.join(open_.select("query_id"), "query_id")).distinct()
         best = written(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), f"radius{r}")
         kth = best.groupBy("query_id").agg(F.max("distance").alias("far"), F.count("*").alias("n"))

@@ -228,13 +228,16 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
         if left.num_rows and right.num_rows:
             v, ids = vectors_of(left.combine_chunks().to_batches()[0], "v"), left.column("vec_id").to_numpy()
             q, asked = vectors_of(right.combine_chunks().to_batches()[0], "q"), right.column("query_id").to_numpy()
-            some = min(len(v), k + 12)
+            # what rounding can part two ways of taking one product
+            margin = 4 * v.shape[1] * np.finfo(float).eps * np.sqrt((v * v).sum(1).max()) * np.sqrt((q * q).sum(1, keepdims=True))
             for i in range(0, len(q), 128):
                 near = q[i : i + 128] @ v.T
-                top = np.argpartition(-near, some - 1, 1)[:, :some]
-                r, c = np.repeat(np.arange(len(top)), some), top.ravel()
-                score = np.einsum("ij,ij->i", q[i : i + 128][r], v[c])
-                for ids_, scores_ in _ranked(r, ids[c], score, ids[c] != asked[i : i + 128][r], len(top), k):
+                near[asked[i : i + 128][:, None] == ids] = -np.inf
+                # everything that may tie with the k-th largest, however much that is
+                least = np.partition(near, len(v) - k, 1)[:, len(v) - k, None] if len(v) > k else np.full((len(near), 1), -np.inf)
+                r, c = np.nonzero(near >= least - margin[i : i + 128])
+                score = np.concatenate([np.einsum("ij,ij->i", q[i + r[j : j + 16384]], v[c[j : j + 16384]]) for j in range(0, len(r), 16384)])
+                for ids_, scores_ in _ranked(r, ids[c], score, ids[c] != asked[i : i + 128][r], len(near), k):
                     best_ids.append(ids_)
                     best_scores.append(scores_)
         return pa.table({"query_id": pa.array(asked, pa.int64()), "ids": pa.array(best_ids, pa.list_(pa.int64())), "scores": pa.array(best_scores, pa.list_(pa.float64()))})

@@ -115,6 +115,24 @@ def test_ann_recall(spark, vectors):
     assert ann.search(few, few, 20).count() == 20
 
 
+def test_ann_ties_at_the_rank_border(spark):
+    rng = np.random.default_rng(4)
+    better = np.concatenate([np.ones((15, 8)), np.arange(15)[:, None] + 1.0], 1)
+    straddling = np.concatenate([better, np.tile([1.0] * 8 + [0.5], (21, 1)), rng.normal(0, 0.1, (364, 9))])
+    quantised = rng.integers(-1, 2, (600, 6)).astype(float)
+    for x, block in ((straddling, 4096), (quantised, 4096), (quantised, 100)):
+        order = rng.permutation(len(x))
+        x = x[order] + np.where((x[order] == 0).all(1), 1.0, 0.0)[:, None]
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        some = [0, 7, int(np.argmax(x[:, -1]))]
+        got = defaultdict(list)
+        for r in ann.search(table, table.where(F.col("vec_id").isin(some)), 20, settings=ann.Settings(rows_per_list=1024, block=block)).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        for q in some:
+            near = np.einsum("ij,j->i", x, x[q])
+            assert got[q] == [k for k in np.lexsort((np.arange(len(x)), -near)) if k != q][:20]
+
+
 def test_graph_search_finds_near_centroids():
     rng = np.random.default_rng(1)
     g = ann.build(rng.normal(size=(4000, 8)), 300, 6.0)

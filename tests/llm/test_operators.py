@@ -133,6 +133,19 @@ def test_ann_ties_at_the_rank_border(spark):
             assert got[q] == [k for k in np.lexsort((np.arange(len(x)), -near)) if k != q][:20]
 
 
+def test_ann_recall_by_reach(spark):
+    """About 93 lists of which 8 are read whatever the ratio."""
+    x = np.random.default_rng(8).normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(table, table.where("vec_id % 40 = 0"), 20, settings=ann.Settings(rows_per_list=64, least_lists=8)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    near = x[::40] @ x.T
+    near[np.arange(150), np.arange(0, 6000, 40)] = -np.inf
+    assert sum(len(got[40 * i] & set(np.argsort(-n)[:20].tolist())) for i, n in enumerate(near)) / 3000 >= 0.95
+
+
 def test_graph_search_finds_near_centroids():
     rng = np.random.default_rng(1)
     g = ann.build(rng.normal(size=(4000, 8)), 300, 6.0)

@@ -440,6 +440,19 @@ def patch_params(spark, d):
     return vectors.patched(t, p, "k", "place")
 
 
+@query("""WITH t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, CASE WHEN l_linenumber % 2 = 0 THEN -1.0 ELSE l_linenumber END::DOUBLE AS op FROM lineitem),
+s AS (SELECT *, sum(CASE WHEN op = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY place) AS i FROM t)
+SELECT k, place, op, CASE WHEN op = -1 THEN k * 100::DOUBLE + least(i, 9) ELSE op END AS patched FROM s""")
+def patch_params_whole(spark, d):
+    """Every line of every order; patch_params, as its SQL, has the first 40 of 50 groups."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    t = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), nth.cast("long").alias("place"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(-1.0)).otherwise(F.col("l_linenumber").cast("double")).alias("op"))
+    p = t.select("k").distinct().select("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("place")).withColumn("value", F.col("k") * 100.0 + F.col("place"))
+    return vectors.patched(t, p, "k", "place")
+
+
 @query("SELECT * FROM (VALUES ('invert', 0::BIGINT, 0.0::DOUBLE), ('invert', 1, 1), ('invert', 2, 1), ('invert', 3, 0), ('identity', 0, 1), ('identity', 1, 0), ('identity', 2, 0), ('identity', 3, 1), ('edge_detector', 0, -1), ('edge_detector', 1, 2), ('edge_detector', 2, -1), ('blend', 0, 0.5), ('blend', 1, 0.5), ('blend', 2, 0.5), ('blend', 3, 0.5), ('scale_project', 0, round(cos(0.5), 6)), ('scale_project', 1, round(-sin(0.5), 6)), ('scale_project', 2, round(sin(0.5), 6)), ('scale_project', 3, round(cos(0.5), 6)), ('amplify', 0, 0.5), ('amplify', 1, 0), ('amplify', 2, 0), ('amplify', 3, 0.5), ('bias_shift', 0, 0.5), ('bias_shift', 1, -0.5)) t(name, pos, value)")
 def transforms(spark, d):
     made = {n: vectors.static_transform(n) for n in vectors.STATIC} | {n: vectors.parametric_transform(n, 0.5) for n in ("scale_project", "amplify", "bias_shift")}

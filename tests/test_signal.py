@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import queries
 from plumbline.functions import elementwise as E
 from plumbline.functions.windows import Series, in_blocks, own_rows
 from plumbline.operators import detect, shield, similarity, stabilize, trigger, vectors
@@ -274,6 +275,13 @@ def test_vectors(spark):
         vectors.static_transform("none")
 
 
+def test_patching_of_every_line(spark, tmp_path):
+    rows = [(o, n, n, 7, 1.0) for o in (1, 51, 101) for n in range(1, 31)]  # one group of patch_params
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got = {(r["k"], r["place"]): r["patched"] for r in queries.Q["patch_params_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {(o, n): n if n % 2 else 100 * o + min(n // 2, 9) for o, n, *_ in rows}
+
+
 def test_readers_and_reports(spark, tmp_path):
     (tmp_path / "n.txt").write_text("a 1.5, -2e3 nan\n7")
     got = readers.numbers(spark, f"file://{tmp_path}/n.txt").orderBy("idx").collect()

@@ -22,11 +22,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose word shingles link them, directly or by others, the one with the smallest id stays.
 
-    Of repeated rows one stays. Rows without an id can't be told apart by one and go with their group.
+    Rows without an id come after all others, and rows of one id with different texts are documents of their own; of
+    rows that repeat both id and text one stays. Such tables are numbered in order of id first, which sorts the texts.
     """
-    first = written(ngram_join.join(docs).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")), "first")
-    kept = docs.hint("merge").join(first.select("doc_id"), "doc_id", "left_semi").select(docs.columns)  # one plan at every size
-    return kept if first.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        key, rows = "_row", docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
+        rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_at")
+        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()).drop("_at"), "rows")
+    found = ngram_join.join(rows.select(F.col(key).alias("doc_id"), "text"))
+    first = written(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)), "first")
+    return rows.hint("merge").join(first, key, "left_semi").select(docs.columns)  # one plan at every size
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -486,3 +486,17 @@ def test_pipeline_by_brute_force(spark, docs, tmp_path, reference_tokenizer):
         got[p["doc_id"]] += p["length"]
     assert got == {i: 1 + len(reference_tokenizer.encode(t, add_special_tokens=False).ids) for i, t in left.items()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeated_passages", "personal_data", "packed"]
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d, e, f = (words(rng, 60) for _ in range(6))
+    rows = [(1, a), (None, a), (None, b), (None, b), (None, b + " tail"), (4, c), (4, d), (4, d), (7, d + " tail"), (9, c), (9, e), (None, ""), (None, ""), (3, ""), (3, ""), (8, f)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, table, "").collect()]
+    one = [x for x in got if x[0] is None and x[1]]
+    assert len(one) == 1 and one[0][1] in (b, b + " tail")
+    want = [(1, a), (3, ""), (4, c), (4, d), (8, f), (9, e), (None, ""), (None, "")]
+    assert sorted((x for x in got if x not in one), key=str) == sorted(want, key=str)

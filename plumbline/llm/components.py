@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by least labels with pointer jumping."""
+"""Connected components of an edge table, by least labels with hooking of roots and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import written
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the edges (a, b). Nodes without edges aren't in it.
 
-    Each round takes the least label among neighbours, with partial minima before the shuffle, and then the label of
-    that label; it ends when no label changes. Each round is written to the shared folder.
+    Each round takes the least label among neighbours, for the node and for the node that is its label, with partial
+    minima before the shuffle, and then the label of that label; it ends when no label changes. Labels only fall, so
+    it always ends; chains take rounds by the logarithm of their length. Each round is written to the shared folder.
     """
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low"))
-        step = labels.join(near.select(F.col("a").alias("node"), "low"), "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
+        met = labels.join(near.select(F.col("a").alias("node"), "low"), "node").select("node", F.col("component").alias("old"), "low")
+        hooks = met.groupBy("old").agg(F.min("low").alias("hook")).withColumnRenamed("old", "root")
+        step = met.join(hooks, F.col("node") == F.col("root"), "left").select("node", "old", F.least("old", "low", "hook").alias("component"))
         heads = step.select(F.col("node").alias("head"), F.col("component").alias("beyond"))
         jumped = step.join(heads, F.col("component") == F.col("head"), "left").select("node", "old", F.least("component", F.coalesce("beyond", "component")).alias("component"))
         jumped = written(jumped, "labels")
         labels = jumped.select("node", "component")
         if jumped.where("old <> component").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

@@ -410,6 +410,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_chain_in_random_order(spark):
+    order = list(range(1000))
+    random.Random(7).shuffle(order)
+    got = components(spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a long, b long"))
+    assert {(r["node"], r["component"]) for r in got.collect()} == {(k, 0) for k in range(1000)}
+
+
 @pytest.mark.parametrize("window", [16, 1024])
 def test_packing(spark, docs, reference_tokenizer, window):
     pieces = packing.pack(docs, queries.vocabulary(), window).collect()

@@ -173,8 +173,10 @@ def scenario_states(params: Column, base: float = 0.0, keep: float = 0.95, gain:
 
 
 def scenarios(s: Series, base: float = 0.0) -> DataFrame:
-    """Adds `state`. Long series: weights below 2^-60 of a state leave no trace, so a window of 850 points is the
-    whole history in double precision, and no fold is needed."""
+    """Adds `state`. Long series: a state is computed from its own and the 851 points before it; history before these,
+    whose weights sum to 0.95^852 = 2^-63, is cut. Values there of up to about 2^10 times the later ones leave no trace
+    in double precision; larger ones would change the last bits, and ones of 2^60 times and more the whole state.
+    """
     reach = math.ceil(60 * math.log(2) / -math.log(0.95)) + 40
     df = s.indexed().df
     window = F.collect_list(F.coalesce("x", F.lit(0.0))).over(s.frame(reach, 0))

@@ -383,6 +383,17 @@ def bank_recall(spark, d):
     return similarity.recall(asked, bank).select("id", "recalled", r6("score"))
 
 
+@query(f"""WITH {VEC}, bank AS (SELECT vec_id % 3 AS shape, vec_id AS seq, v FROM e QUALIFY row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id DESC) <= 32),
+asked AS (SELECT vec_id AS id, vec_id % 3 AS shape, list_transform(v, lambda z: z / sqrt(list_dot_product(v, v))) AS q FROM e),
+met AS (SELECT id, seq, {score_sql('b.v', 'a.q')} AS score FROM asked a JOIN bank b USING (shape)),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, seq) = 1)
+SELECT id, CASE WHEN score >= 0.9 THEN seq END AS recalled, round(score, 6) AS score FROM best""")
+def bank_recall_whole(spark, d):
+    """Every vector asked and every one remembered; bank_recall, as its SQL, asks each fifth and remembers each second."""
+    e = embedded(spark, d).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("shape"), F.col("v").alias("vec"))
+    return similarity.recall(e, e.withColumnRenamed("id", "seq")).select("id", "recalled", r6("score"))
+
+
 # ---- op lists and vectors -------------------------------------------------------------------------------------
 
 UNIT = "CASE WHEN sqrt(list_dot_product({v}, {v})) > 0 THEN list_transform({v}, lambda z: z / sqrt(list_dot_product({v}, {v}))) ELSE {v} END"

@@ -226,6 +226,13 @@ def test_similarity_and_bank(spark):
     assert {r["score"] for r in similarity.scores(bank, zero, "vec").collect()} == {0.0}
 
 
+def test_recall_of_every_vector(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(24, 64))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = {r["id"]: r["recalled"] for r in queries.Q["bank_recall_whole"](spark, f"file://{tmp_path}").collect()}
+    assert got == {i: i for i in range(24)}
+
+
 def test_ops(spark):
     def run(ops, v):
         return values(spark, pipeline.run(pipeline.compiled(ops), F.col("v")), [(v,)], "v array<double>")[0]

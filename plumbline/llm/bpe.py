@@ -1,6 +1,9 @@
 """Byte-level BPE by speculation: greedy longest matches are proposed for all unknown words of a block,
 one vectorised pass tests every adjacent pair, and only words with a failing pair are merged exactly.
 
+Texts are cut into words a block of bytes at a time, by character classes. The block's different words are looked up
+once each, and the ids of all its words are gathered in one step.
+
 The vocabulary file is a parameter (the JSON form of the public tokenizers library); it is never copied.
 """
 
@@ -11,7 +14,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import as_bytes, blocks
 
-#: The public byte-level pre-tokenisation pattern.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A single blank between visible characters always ends a word, so texts can be cut there first.
-LONE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of text that are cut into words at a time.
+ENCODE_BYTES = 4 << 20
+#: Classes of characters in the public byte-level pattern: letters, numbers, whitespace and all others.
+LETTER, NUMBER, SPACE, OTHER = range(4)
+#: What the pattern parts from a word after an apostrophe, by its first letter.
+SHORT_ENDINGS, LONG_ENDINGS = b"stmd", (b"re", b"ve", b"ll")
 NEVER = np.int64(1) << 40
 
 
@@ -35,25 +39,60 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _within(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+def character_classes() -> np.ndarray:
+    """The class of every code point."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    all_of_them = "".join(map(chr, range(0x110000)))
+    for name, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+        for m in regex.finditer(name, all_of_them):
+            out[m.start() : m.end()] = kind
+    return out
+
+
+class Table:
+    """Values of 64-bit keys by open addressing, for many keys at once; -1 for keys that aren't in it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        keys, slot = keys.astype(np.uint64), self._slot(keys.astype(np.uint64))
+        todo = np.arange(len(keys))
+        while todo.size:
+            free = todo[self.values[slot[todo]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            todo = np.setdiff1d(todo, put)
+            slot[todo] = slot[todo] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ keys >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.values[slot]
+        other = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        while other.size:
+            slot[other] = slot[other] + 1 & self.mask
+            out[other] = self.values[slot[other]]
+            other = other[(self.keys[slot[other]] != keys[other]) & (out[other] >= 0)]
+        return out
 
 
-def _packed(ids: np.ndarray, words: np.ndarray, n: int) -> list[bytes]:
-    """Ids of each of n words, which come in order, as little-endian unsigned 32-bit integers."""
-    sizes = np.bincount(words, minlength=n)
-    raw, ends = ids.astype("<u4").tobytes(), 4 * np.cumsum(sizes)
-    return [raw[e - 4 * s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of `sizes[i]` each, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class ByteBPE:
-    """Encoder and decoder. Caches hold about `cache_entries` words and lose their oldest half when full."""
+    """Encoder and decoder. The cache of words is emptied before a block that finds over `cache_entries` in it."""
 
     def __init__(self, path: str, cache_entries: int = 800_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space") or spec.get("normalizer"):
-            raise ValueError("a byte-level BPE file without normaliser or prefix blank is needed")
+        _check(spec)
         alphabet = printable_bytes()
         vocab = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -79,26 +118,35 @@ class ByteBPE:
             ranks.append(rank)
             if self.formed[whole] < 0:
                 self.formed[whole], self.head[whole], self.tail[whole] = rank, left, right
-        order = np.argsort(np.array(keys, np.int64))
-        self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(ranks, np.int64)[order]
+        self.pairs = Table(np.array(keys, np.int64), np.array(ranks, np.int64))
         self.made = np.array([self.merge[int(k) >> 32, int(k) & 0xFFFFFFFF][1] for k in keys], np.int64)
         self.byte_ids = np.array([vocab[bytes([b])] for b in range(256)], np.int64)
         self.short = {}
         for n in range(1, 9):
-            some = sorted((int.from_bytes(b, "big"), i) for b, i in vocab.items() if len(b) == n)
-            self.short[n] = (np.array([k for k, _ in some] or [1 << 63], np.uint64), np.array([i for _, i in some] or [-1], np.int64))
-        self.long_heads = np.unique(np.array([int.from_bytes(b[:8], "big") for b in vocab if len(b) > 8] or [0], np.uint64))
+            some = [(int.from_bytes(b, "big"), i) for b, i in vocab.items() if len(b) == n]
+            self.short[n] = Table(np.array([k for k, _ in some], np.uint64), np.array([i for _, i in some], np.int64))
+        heads = np.unique(np.array([int.from_bytes(b[:8], "big") for b in vocab if len(b) > 8], np.uint64))
+        self.long_heads = Table(heads, np.zeros(len(heads), np.int64))
         self.sound = self._sound()
-        self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(WORDS)
+        self.special_at = re.compile(b"|".join(re.escape(t.encode()) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        self.classes = character_classes()
+        sizes = np.fromiter(map(len, self.bytes_of), np.int64, self.size)
+        self.shown, self.shown_size = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes.astype(np.int32)
+        self.shown_at = (np.cumsum(sizes) - sizes).astype(np.int32)
         self.limit = cache_entries
-        self.word_ids: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the cache: the number of each word, and where its ids are in the pool."""
+        self.number = {t.encode(): k for k, t in enumerate(self.special)}
+        self.pool = np.array([*self.special.values()], np.int32)
+        self.pool_at = np.arange(len(self.special), dtype=np.int64)
+        self.pool_size = np.ones(len(self.special), np.int64)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NEVER)
+        rank = self.pairs.get((left.astype(np.int64) << 32 | right).astype(np.uint64)).astype(np.int64)
+        rank[rank < 0] = NEVER
+        return rank
 
     def seams_hold(self, left: np.ndarray, right: np.ndarray, until: np.ndarray | None = None) -> np.ndarray:
         """For each pair of tokens: would merging their joined bytes leave the border between them?
@@ -144,7 +192,8 @@ class ByteBPE:
         while live.size:
             left, here = ends[live] - at, ahead[at]
             token, step = np.full(len(live), -1, np.int64), np.zeros(len(live), np.int64)
-            for i in np.nonzero((left > 8) & _within(self.long_heads, here))[0].tolist():
+            long = np.flatnonzero(left > 8)
+            for i in long[self.long_heads.get(here[long]) >= 0].tolist():
                 word = data[at[i] : at[i] + min(left[i], self.longest)].tobytes()
                 for j in range(len(word), 8, -1):
                     if (t := self.id_of.get(word[:j])) is not None:
@@ -153,11 +202,9 @@ class ByteBPE:
             for size in range(8, 0, -1):
                 open_ = np.nonzero((token < 0) & (left >= size))[0]
                 if open_.size:
-                    keys, values = self.short[size]
-                    key = here[open_] >> np.uint64(8 * (8 - size))
-                    k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[k] == key
-                    token[open_[hit]], step[open_[hit]] = values[k[hit]], size
+                    found = self.short[size].get(here[open_] >> np.uint64(8 * (8 - size)))
+                    token[open_] = found
+                    step[open_[found >= 0]] = size
             ids.append(token)
             words.append(live)
             order.append(at)
@@ -226,10 +273,8 @@ class ByteBPE:
                 heapq.heappush(heap, (m[0], before[i], ids[before[i]], ids[i]))
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
-        if not words:
-            return []
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, end to end, and how many each word has."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes)
         starts = ends - sizes
@@ -237,82 +282,165 @@ class ByteBPE:
         fails = np.zeros(len(words), bool)
         fails[word_of[~self.sound[flat]]] = True
         inner = np.nonzero(word_of[1:] == word_of[:-1])[0]
+        inner = inner[~fails[word_of[inner]]]
         fails[word_of[inner[~self.seams_hold(flat[inner], flat[inner + 1])]]] = True
-        out = _packed(flat, word_of, len(words))
+        held = ~fails[word_of]
+        ids, owner = [flat[held]], [word_of[held]]
         short = np.nonzero(fails & (sizes <= 64))[0]
         if short.size:
             merged, which = self.exact_all(data, starts[short], ends[short])
-            for i, ids in zip(short.tolist(), _packed(merged, which, len(short)), strict=True):
-                out[i] = ids
+            ids.append(merged)
+            owner.append(short[which])
         for i in np.nonzero(fails & (sizes > 64))[0].tolist():
-            out[i] = np.array(self.exact(words[i]), "<u4").tobytes()
-        return out
+            ids.append(np.array(self.exact(words[i]), np.int64))
+            owner.append(np.full(len(ids[-1]), i))
+        ids, owner = np.concatenate(ids), np.concatenate(owner)
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
-    def _learn(self, pieces: Iterable[str], starts: Iterable[str]) -> None:
-        """Adds what follows a blank, and the words of what texts begin with, to the caches; all unknown words go
-        through one vectorised test.
+    def word_starts(self, x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Which bytes begin a word, by the public byte-level pattern, in rows of valid UTF-8 that begin at `edges`.
 
-        Pieces of letters alone are words as they stand, and so is what precedes one closing mark; others are matched.
+        Runs of letters, of numbers and of other characters are words, with one blank that precedes them. The last
+        whitespace before a word is apart from whitespace further left. An apostrophe that no other sign or blank
+        precedes takes a short ending from the letters that follow.
         """
-        plain, cut = set(), []
-        others = {w for p in starts for w in self.words.findall(p) if w not in self.word_ids}
-        for p in pieces:
-            if p.isalpha():
-                plain.add(p)
-                continue
-            if p[:-1].isalpha() and not p[-1].isnumeric() and p[-1].isascii():
-                ws = [" " + p[:-1], p[-1]]
-            else:
-                ws = self.words.findall(" " + p)
-            cut.append((p, ws))
-            for w in ws:
-                if w[0] == " " and w[1:].isalpha():
-                    if w[1:] not in self.later:
-                        plain.add(w[1:])
-                elif w not in self.word_ids:
-                    others.add(w)
-        words = [*(" " + p for p in plain), *others]
-        ids = self.encode_words([w.encode() for w in words])
-        self.later.update(zip(plain, ids, strict=False))
-        self.word_ids.update(zip(others, ids[len(plain) :], strict=True))
-        for p, ws in cut:
-            self.later[p] = b"".join([self.later[w[1:]] if w[0] == " " and w[1:].isalpha() else self.word_ids[w] for w in ws])
-
-    def _start(self, piece: str) -> bytes:
-        """Ids of what a text begins with, once its words are known."""
-        return b"".join([self.word_ids[w] for w in self.words.findall(piece)])
+        n = len(x)
+        kind = self.classes[:256][x]
+        lead = np.flatnonzero(x >= 0xC0)
+        if lead.size:
+            first, y = x[lead].astype(np.int32), np.concatenate([x, np.zeros(3, np.uint8)])
+            more = [(y[lead + k] & 0x3F).astype(np.int32) for k in (1, 2, 3)]
+            two = (first & 0x1F) << 6 | more[0]
+            three = (first & 0x0F) << 12 | more[0] << 6 | more[1]
+            four = (first & 0x07) << 18 | more[0] << 12 | more[1] << 6 | more[2]
+            wide = self.classes[np.where(first < 0xE0, two, np.where(first < 0xF0, three, np.minimum(four, 0x10FFFF)))]
+            kind[lead] = wide
+            for k, least in ((1, 0xC0), (2, 0xE0), (3, 0xF0)):
+                some = first >= least
+                kind[lead[some] + k] = wide[some]
+        edge = np.zeros(n, bool)
+        edge[edges[edges < n]] = True
+        special = self._specials(x, edges)
+        for a, b in special:
+            edge[a] = True
+            if b < n:
+                edge[b] = True
+        starts = edge.copy()
+        starts[1:] |= kind[1:] != kind[:-1]
+        after = np.flatnonzero(starts[1:] & (kind[:-1] == SPACE) & ~edge[1:]) + 1  # words that follow whitespace
+        last = after - 1
+        while (wide := np.flatnonzero(x[last] & 0xC0 == 0x80)).size:
+            last[wide] -= 1
+        starts[last] = True
+        starts[after] = x[after - 1] != 32
+        mark = np.flatnonzero((x == 39) & starts)
+        mark = mark[mark + 1 < n]
+        mark = mark[(kind[mark + 1] == LETTER) & ~edge[mark + 1]]
+        if mark.size:
+            y = np.concatenate([x, np.zeros(1, np.uint8)])
+            one, two = y[mark + 1], np.where(np.append(edge, True)[mark + 2], 0, y[mark + 2])
+            size = np.where(np.isin(one, np.frombuffer(SHORT_ENDINGS, np.uint8)), 2, 0)
+            for pair in LONG_ENDINGS:
+                size[(one == pair[0]) & (two == pair[1])] = 3
+            mark, size = mark[size > 0], size[size > 0]
+            starts[mark + 1] = False
+            end = mark + size
+            starts[end[end < n]] = True
+        for a, b in special:
+            starts[a:b] = False
+            starts[a] = True
+        return starts
+
+    def _specials(self, x: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens are, leftmost and longest first within each row."""
+        if self.special_at is None:
+            return []
+        raw = x.tobytes()
+        met = [m.span() for m in self.special_at.finditer(raw)] if any(t.encode() in raw for t in self.special) else []
+        if not met:
+            return []
+        cut = np.append(edges, len(raw))
+        # a match over the border of two rows hides others, so the rows that a match begins or ends in are searched alone
+        rows = np.unique(np.searchsorted(cut, [p for a, b in met for p in (a, b - 1)], "right") - 1)
+        return [m.span() for r in rows.tolist() for m in self.special_at.finditer(raw, int(cut[r]), int(cut[r + 1]))]
+
+    def _numbers(self, words: list[bytes]) -> np.ndarray:
+        """The cache's number of each of a block's different words; unknown words are encoded together."""
+        known = self.number
+        out = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if new.size:
+            fresh = [words[i] for i in new.tolist()]
+            ids, sizes = self.encode_words(fresh)
+            out[new] = np.arange(len(self.pool_at), len(self.pool_at) + len(new))
+            self.pool_at = np.concatenate([self.pool_at, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.pool_size = np.concatenate([self.pool_size, sizes])
+            self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
+            known.update((w, k) for w, k in zip(fresh, out[new].tolist(), strict=True) if len(w) <= 64)
+        return out
+
+    def encode_rows(self, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, end to end, and where each row's ids begin (one more than rows). Bytes that aren't UTF-8
+        count as replacement characters."""
+        x, at = data[at[0] : at[-1]], at - at[0]
+        if not len(x):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        if not _valid(at, x):
+            rows = [str(x[a:b].data, "utf-8", "replace").encode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            x, at = np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        if len(self.number) > self.limit or len(self.pool) > 8 * self.limit:
+            self._forget()
+        begin = np.flatnonzero(self.word_starts(x, at[:-1]))
+        words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(x)).astype(np.int64)), pa.py_buffer(x)]).dictionary_encode()
+        cut, letters = as_bytes(words.dictionary)
+        letters, cut = letters[cut[0] : cut[-1]].tobytes(), (cut - cut[0]).tolist()
+        number = self._numbers([letters[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        which = words.indices.to_numpy()
+        sizes = self.pool_size[number][which]
+        ids = self.pool[spread(self.pool_at[number][which], sizes)].astype(np.uint32)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begin, at)]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for cache in (self.word_ids, self.later):
-            if len(cache) > self.limit:
-                for k in list(islice(cache, self.limit // 2)):
-                    del cache[k]
-        cut, unknown, starts, later = [], set(), set(), self.later
-        for text in texts:
-            parts = [text] if not self.special or not any(s in text for s in self.special) else self.special_at.split(text)
-            row = []
-            for k, part in enumerate(parts):
-                if k % 2:
-                    row.append(self.special[part])
-                    continue
-                pieces = part.split(" ")
-                new = set(pieces[1:]).difference(later)
-                if not pieces[0] or pieces[0][-1].isspace() or any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-                    pieces = LONE_BLANK.split(part)
-                    new = set(pieces[1:]).difference(later)
-                unknown |= new
-                starts.add(pieces[0])
-                row.append(pieces)
-            cut.append(row)
-        self._learn(unknown, starts)
-        get = later.__getitem__
-        return [b"".join(x.to_bytes(4, "little") if isinstance(x, int) else self._start(x[0]) + b"".join(map(get, x[1:])) for x in row) for row in cut]
+        rows = [t.encode() for t in texts]
+        ids, at = self.encode_rows(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64), np.frombuffer(b"".join(rows), np.uint8))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def decode_rows(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The text of each row of ids in UTF-8; bytes that aren't become replacement characters."""
+        sizes = self.shown_size[ids]
+        x = self.shown[spread(self.shown_at[ids], sizes)]
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[at]
+        sound, raw = _valid(at, x), x.tobytes()
+        rows = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return rows if sound else [r.decode("utf-8", "replace").encode() for r in rows]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
 
 
+def _valid(at: np.ndarray, x: np.ndarray) -> bool:
+    """Are all rows UTF-8?"""
+    if not len(x) or x.max() < 0x80:
+        return True
+    begin = at[:-1][at[:-1] < len(x)]
+    try:
+        return not (x[begin] & 0xC0 == 0x80).any() and str(x.data, "utf-8") is not None
+    except UnicodeDecodeError:
+        return False
+
+
+def _check(spec: dict) -> None:
+    """Refuses files whose options this encoder doesn't have."""
+    model, words = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or words.get("type") != "ByteLevel" or words.get("add_prefix_space") or not words.get("use_regex", True) or spec.get("normalizer"):
+        raise ValueError("a byte-level BPE file without normaliser or prefix blank is needed")
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        raise ValueError("only plain merges are supported")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens that strip, normalise or ask for whole words aren't supported")
+
+
 _LOADED: dict[str, ByteBPE] = {}
 
 
@@ -323,12 +451,17 @@ def tokenizer(path: str) -> ByteBPE:
     return _LOADED[path]
 
 
-def encoded_blocks(batch: pa.RecordBatch, column: str, path: str) -> Iterator[tuple[int, list[bytes]]]:
-    """First row and packed ids of each block of rows."""
+def encoded_blocks(batch: pa.RecordBatch, column: str, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, ids (unsigned 32-bit) and where each row's ids begin, of each block of rows."""
     bpe = tokenizer(path)
     at, data = as_bytes(batch.column(column))
-    for i, j in blocks(at):
-        yield i, bpe.encode_block([str(data[at[k] : at[k + 1]].data, "utf-8") for k in range(i, j)])
+    for i, j in blocks(at, ENCODE_BYTES):
+        yield i, *bpe.encode_rows(at[i : j + 1], data)
+
+
+def packed(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Rows of ids as binary values, in the ids' own width."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * ids.itemsize).astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -336,8 +469,8 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, ids in encoded_blocks(batch, "t", path):
-                yield pa.RecordBatch.from_arrays([batch.column("d").slice(i, len(ids)), pa.array(ids, pa.binary())], ["d", "ids"])
+            for i, ids, at in encoded_blocks(batch, "t", path):
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(i, len(at) - 1), packed(ids.astype("<u4"), at)], ["d", "ids"])
 
     out = docs.select(F.col(id_column).cast("long").alias("d"), F.col(text_column).cast("string").cast("binary").alias("t")).mapInArrow(run, "d long, ids binary")
     return out.select(F.col("d").alias(id_column), "ids")
@@ -349,8 +482,11 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            texts = [bpe.decode(np.frombuffer(x.as_buffer(), "<u4")).decode("utf-8", "replace") if x.is_valid else None for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(texts, pa.string())], ["d", "text"])
+            at, data = as_bytes(batch.column("ids"))
+            for i, j in blocks(at, ENCODE_BYTES):
+                texts = bpe.decode_rows(np.frombuffer(data[at[i] : at[j]].tobytes(), "<u4"), (at[i : j + 1] - at[i]) // 4)
+                texts = [t if ok else None for t, ok in zip(texts, batch.column("ids").slice(i, j - i).is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(i, j - i), pa.array(texts, pa.binary()).cast(pa.string())], ["d", "text"])
 
     out = encoded.select(F.col(id_column).cast("long").alias("d"), "ids").mapInArrow(run, "d long, text string")
     return out.select(F.col("d").alias(id_column), "text")
@@ -359,19 +495,20 @@ def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFram
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Digests of every text's ids and of the text decoded from them, in one pass without a shuffle.
 
-    Null and empty texts have no tokens. Repeated rows give repeated results; other columns are ignored.
+    Null and empty texts have no tokens. Bytes that aren't UTF-8 count as replacement characters. Repeated rows give
+    repeated results; other columns are ignored.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for i, packed in encoded_blocks(batch, "t", path):
-                texts = [bpe.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace").encode() for x in packed]
+            for i, ids, at in encoded_blocks(batch, "t", path):
+                texts, raw = bpe.decode_rows(ids, at), memoryview(ids.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(i, len(packed)),
-                        pa.array([len(x) // 4 for x in packed], pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in packed], pa.string()),
+                        batch.column("doc_id").slice(i, len(texts)),
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.array([hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import encoded_blocks, tokenizer
-from plumbline.llm.common import written
+from plumbline.llm.bpe import encoded_blocks, packed, spread, tokenizer
+from plumbline.llm.common import as_bytes, blocks, written
 
 #: Partitions of the first pass (16 bytes each) up to which their offsets are broadcast; a join is used beyond.
 BROADCAST_ROWS = 500_000
@@ -24,16 +24,14 @@ def _counted(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """First pass: packed ids with the end id, and where each document starts within its partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, first = TaskContext.get().partitionId(), 0
         width = "<u2" if tokenizer(path).size <= 1 << 16 else "<u4"
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for i, packed in encoded_blocks(batch, "t", path):
-                n = np.array([len(x) // 4 + 1 for x in packed], np.int64)
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
-                ids = [np.frombuffer(x + end, "<u4").astype(width).tobytes() for x in packed]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int64()), pa.array(starts), pa.array(n), batch.column("d").slice(i, len(n)), pa.array(ids, pa.binary())], ["part", "local_start", "n", "d", "ids"])
+            for i, ids, at in encoded_blocks(batch, "t", path):
+                ids, n = np.insert(ids.astype(width), at[1:], end_id), np.diff(at) + 1
+                at = np.concatenate([[0], np.cumsum(n)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int64()), pa.array(first + at[:-1]), pa.array(n), batch.column("d").slice(i, len(n)), packed(ids, at)], ["part", "local_start", "n", "d", "ids"])
+                first += int(at[-1])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").cast("binary").alias("t"))
     return rows.mapInArrow(run, "part long, local_start long, n long, d long, ids binary")
@@ -56,24 +54,24 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end_id: int = 0) -> Dat
         bases = F.broadcast(bases)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = "<u2" if tokenizer(path).size <= 1 << 16 else "<u4"
+        width = np.dtype("<u2" if tokenizer(path).size <= 1 << 16 else "<u4")
         for batch in batches:
-            begin, total = batch.column("begin").to_numpy(), batch.column("n").to_numpy()
-            doc, start, length, crc, tokens, place = [], [], [], [], [], []
-            for d, g, n, ids in zip(batch.column("d").to_pylist(), begin.tolist(), total.tolist(), batch.column("ids"), strict=True):
-                raw = np.frombuffer(ids.as_buffer(), width).astype("<u4").tobytes()
-                at = 0
-                while at < n:
-                    size = min(n - at, window - (g + at) % window)
-                    doc.append(d)
-                    start.append(at)
-                    length.append(size)
-                    crc.append(zlib.crc32(raw[4 * at : 4 * (at + size)]))
-                    tokens.append(n)
-                    place.append(g + at)
-                    at += size
-            place = np.array(place, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, tokens, place // window, place % window)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            at, data = as_bytes(batch.column("ids"))
+            for i, j in blocks(at):
+                ids = np.frombuffer(data[at[i] : at[j]].tobytes(), width).astype("<u4")
+                begin, n = (batch.column(c).slice(i, j - i).to_numpy() for c in ("begin", "n"))
+                # the windows that a document touches, one piece in each
+                window_of = begin // window
+                pieces = (begin + n - 1) // window - window_of + 1
+                doc = np.repeat(np.arange(j - i), pieces)
+                sequence = spread(window_of, pieces)
+                place = np.maximum(sequence * window, begin[doc])
+                start = place - begin[doc]
+                size = np.minimum((sequence + 1) * window, (begin + n)[doc]) - place
+                raw, here = memoryview(ids.tobytes()), start + ((at[i:j] - at[i]) // width.itemsize)[doc]
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(here.tolist(), (here + size).tolist(), strict=True)]
+                columns = (batch.column("d").slice(i, j - i).take(pa.array(doc)), start, size, crc, n[doc], sequence, place % window)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     placed = counted.join(bases, "part").select("d", (F.col("base") + F.col("local_start")).alias("begin"), "n", "ids")
     return placed.mapInArrow(run, PIECES)

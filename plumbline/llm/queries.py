@@ -47,8 +47,8 @@ def op6_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = _table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding").alias("code"))
-    return hamming.search(codes, codes.where(F.col("vec_id") % 50 == 0), k=10)
+    codes, bits = hamming.sign_codes(_table(spark, sf_dir, "embeddings"))
+    return hamming.search(codes, codes.where(F.col("vec_id") % 50 == 0), k=10, bits=bits)
 
 
 def op8_blocked_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,20 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def _sample(rows: DataFrame, most: int, n: int) -> np.ndarray:
+    """About `most` of n vectors, by a cut through the hashes of their ids, in order of these; nothing is sorted or
+    moved but the sample."""
+    h = F.xxhash64("vec_id")
+    below = int((2 * min(1.0, most / n) - 1) * (1 << 63))
+    some = rows if most >= n else rows.where(h <= below)
+    found = sorted(some.select(h.alias("h"), "vec_id", "v").collect(), key=lambda r: (r["h"], r["vec_id"]))
+    return np.array([r["v"] for r in found])
+
+
 def _ranked(row: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each of n rows the k largest scores, ties to the smaller id."""
     row, ids, score = row[keep], ids[keep], score[keep]
@@ -141,6 +155,10 @@ def _ranked(row: np.ndarray, ids: np.ndarray, score: np.ndarray, keep: np.ndarra
         yield ids[some], score[some]
 
 
+#: A smaller sample might miss by chance; tables of fewer vectors are their own sample.
+LEAST_SAMPLE = 512
+
+
 @dataclass(frozen=True)
 class Settings:
     rows_per_list: int = 256
@@ -156,23 +174,25 @@ class Settings:
 def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", settings: Settings | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest by inner product but its own row, ties to the smaller id.
 
-    Null, zero and non-finite vectors and null ids take no part. Of equal vectors only the k + 1 smallest ids can be
-    in any result, so the others leave before the index is built. All remaining rows are indexed. The number of
-    centroids is bounded (`max_lists`), so what workers hold doesn't grow with the input. Long lists and lists that
-    many queries read are dealt out in blocks. A table of vectors of different lengths is an error.
+    Null, zero and non-finite vectors and null ids take no part. An id with several vectors has the least of them,
+    component by component, among candidates and among queries alike, however rows are partitioned; other columns are
+    ignored. Of equal vectors only the k + 1 smallest ids can be in any result, so the others leave before the index
+    is built. All remaining rows are indexed. The centroids are fitted on about `sample_per_list` vectors a list, those
+    whose ids hash least; their number is bounded (`max_lists`), so what workers hold doesn't grow with the input, but
+    beyond about max_lists x rows_per_list vectors the lists do. Long lists and lists that many queries read are dealt
+    out in blocks. A table of vectors of different lengths is an error.
     """
     s = settings or Settings()
     spark = table.sparkSession
     rows = usable(table, id_column, vector_column)
     nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    rows = written(rows.dropDuplicates(["vec_id", "v"]).withColumn("_n", nth).where(F.col("_n") <= k + 1), "vectors")
+    rows = written(_one_each(rows).withColumn("_n", nth).where(F.col("_n") <= k + 1).drop("_n"), "vectors")
     facts = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not facts["n"]:
         return spark.createDataFrame([], schema)
     lists = int(min(s.max_lists, max(1, facts["n"] // s.rows_per_list)))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(lists * s.sample_per_list)
-    graph = build(np.array([r["v"] for r in sample.toLocalIterator()]), lists, float(facts["norm"]))
+    graph = build(_sample(rows, max(lists * s.sample_per_list, LEAST_SAMPLE), facts["n"]), lists, float(facts["norm"]))
     shared = spark.sparkContext.broadcast(graph)
 
     def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +235,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
                 r, lists_ = (np.concatenate(y) for y in zip(*picked, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(lists_, pa.int64()), part.column("vec_id").take(pa.array(r)), part.column("v").take(pa.array(r))], ["list", "query_id", "q"])
 
-    asked = usable(queries, id_column, vector_column).dropDuplicates(["vec_id"])
+    asked = _one_each(usable(queries, id_column, vector_column))
     probes = written(asked.mapInArrow(aimed, "list long, query_id long, q array<double>"), "probes")
     load = probes.groupBy("list").agg(F.count("*").alias("asked"))
     dealt = sizes.join(load, "list").select("list", F.ceil(F.col("size") / s.block).cast("int").alias("blocks"), F.ceil(F.col("asked") / s.block).cast("int").alias("parts"))

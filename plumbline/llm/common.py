@@ -10,17 +10,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+_LOCAL: dict[str, str] = {}
 #: Bytes of text that one NumPy step handles at a time, so that memory doesn't follow the batch size.
 BLOCK_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir; a local one where that isn't set (tests)."""
+    """A new folder name under spark.checkpoint.dir. Where that isn't set, a local session gets a folder of its own;
+    on a cluster, whose executors wouldn't see one, it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
+        app = spark.sparkContext.applicationId
+        root = _LOCAL[app] = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="plumbline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,6 +42,24 @@ def scaled_partitions(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: A key is hot if it has more than this share of the rows, so that there are at most so many hot keys.
+HOT_KEYS = 4096
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, n_rows: int, counted: str) -> DataFrame:
+    """rows with the columns of `values`, which has each key once and, in `counted`, how many rows have it.
+
+    Keys with over n_rows / HOT_KEYS rows are fewer than HOT_KEYS whatever the table's size; their values are
+    broadcast, and the rows of all other keys are dealt by key. Rows of a key without a value have nulls. `rows` is
+    read twice, so it ought to be a written table.
+    """
+    hot = values.where(F.col(counted) * HOT_KEYS > n_rows).drop(counted).withColumn("_hot", F.lit(True))
+    names = [c for c in values.columns if c not in (key, counted)]
+    marked = rows.join(F.broadcast(hot), key, "left")
+    cold = marked.where("_hot is null").drop("_hot", *names).hint("merge").join(values.where(F.col(counted) * HOT_KEYS <= n_rows).drop(counted), key, "left")
+    return marked.where("_hot").drop("_hot").unionByName(cold)
+
+
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (one more than rows) and data of a binary or string array, without a copy; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -59,6 +83,12 @@ def blocks(at: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of `sizes[i]` each, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on unsigned 64-bit integers that spreads every input bit (splitmix finaliser)."""
     x = x.astype(np.uint64, copy=True)

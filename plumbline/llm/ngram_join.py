@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, blocks, mixed, trim, written
+from plumbline.llm.common import as_bytes, blocks, looked_up, mixed, trim, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
 
@@ -47,19 +47,17 @@ def _scan(docs: DataFrame, words: int, size: int) -> DataFrame:
     """Rows of documents (doc_id, n, sig: digest of the set), and rows of counts (slice, counts) of each partition."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size, np.uint32)
+        table = np.zeros(size, np.uint8)  # counts up to 255
         for batch in batches:
             for i, h, s in _sets(batch, words):
                 n = np.diff(s)
                 at, times = np.unique(h & np.uint64(size - 1), return_counts=True)
-                table[at] += times.astype(np.uint32)
+                table[at] = np.minimum(table[at] + times, 255)
                 sigs = [hashlib.md5(h[a:b].tobytes()).digest() for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
-        k, few = size // SLICE, np.minimum(table, 255).astype(np.uint8)
-        del table
-        trim()
+        k = size // SLICE
         for i in range(0, k, 64):
-            parts = [pa.compress(few[j * SLICE : (j + 1) * SLICE].tobytes(), "zstd", asbytes=True) for j in range(i, min(k, i + 64))]
+            parts = [pa.compress(table[j * SLICE : (j + 1) * SLICE].tobytes(), "zstd", asbytes=True) for j in range(i, min(k, i + 64))]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(range(i, i + len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
 
     names = ["doc_id", "n", "sig", "slice", "counts"]
@@ -293,7 +291,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     size = table_size(n_bytes)
     scanned = written(_scan(docs, words, size), "scan")
     rows = scanned.where("slice is null").select("doc_id", "n", "sig")
-    total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    facts = rows.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    total = facts["n"] or 0
     level = spark.sparkContext.broadcast(_levels(scanned, size, total))  # a byte an entry, TABLE[1] bytes at most
     n_buckets = max(16, int(total * (101 - percent) / 100) * ENTRY.itemsize // TASK_BYTES)
     met = written(_met(_entries(docs, words, percent, level, n_buckets), percent), "met")
@@ -311,7 +310,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     n_groups = max(16, met.count() // 500)
     edges = _products(members, words, percent, n_groups)
     found = components(edges)
-    reps = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("class_component"))
-    out = rows.join(classes, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_component")).otherwise(F.col("doc_id")).alias("component_id"))
+    reps = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = written(reps.join(found, F.col("rep") == F.col("node"), "left").select("sig", "copies", F.coalesce("component", "rep").alias("component_id")), "classes")
+    # rows without shingles are their own component
+    out = looked_up(rows.where("n > 0"), classes, "sig", facts["rows"], "copies")
+    alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)

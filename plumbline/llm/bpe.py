@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import as_bytes, blocks
+from plumbline.llm.common import as_bytes, blocks, spread
 
 #: Bytes of text that are cut into words at a time.
 ENCODE_BYTES = 4 << 20
@@ -80,12 +80,6 @@ class Table:
         return out
 
 
-def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places starts[i], starts[i] + 1, ... of `sizes[i]` each, end to end."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 class ByteBPE:
     """Encoder and decoder. The cache of words is emptied before a block that finds over `cache_entries` in it."""
 

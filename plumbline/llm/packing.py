@@ -12,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import encoded_blocks, packed, spread, tokenizer
-from plumbline.llm.common import as_bytes, blocks, written
+from plumbline.llm.bpe import encoded_blocks, packed, tokenizer
+from plumbline.llm.common import as_bytes, blocks, spread, written
 
 #: Partitions of the first pass (16 bytes each) up to which their offsets are broadcast; a join is used beyond.
 BROADCAST_ROWS = 500_000

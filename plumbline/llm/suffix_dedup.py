@@ -2,10 +2,14 @@
 
 Equal strings of the least length are brought together without sorting the corpus: each such string (window) is
 dealt by the least hash of its short substrings, and neighbouring windows with the same least hash travel as one
-piece. Only pieces whose hash occurs in two documents travel at all. Within a task, intervals of equal strings grow
-backwards one byte at a time, all intervals of a length at once, along the Burrows-Wheeler order: the byte before
-each suffix is read in suffix order and a stable counting sort by it gives the next order. Intervals of one
-document end early; those that reach the least length are the common prefixes sought, and no longer ones are derived.
+piece. Only pieces whose hash occurs in two documents travel at all; windows of a hash that very many batches have
+travel apart, dealt by all of their bytes. Equal pieces travel once, with the least and the largest document.
+
+Within a task, intervals of equal strings grow backwards from length 1, a byte at a time, all intervals of a length at
+once, along the Burrows-Wheeler order: the transform (the byte before each suffix) is read in suffix order, and a
+stable counting sort by it, which is the step from last to first column, gives the order of the longer strings.
+Intervals of one document end early; those that reach the least length are the common prefixes sought, and no longer
+ones are derived. Every byte that goes is in a window of such an interval.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import as_bytes, blocks, mixed, scaled_partitions, scratch, trim, written
+from plumbline.llm.common import as_bytes, blocks, mixed, scratch, spread, trim, written
 
 #: Bytes of text in a batch, bytes of hashes and of pieces that one task sorts, windows of a piece at most.
 BATCH_BYTES, HASH_BYTES, PIECE_BYTES, PIECE = 12 << 20, 12 << 20, 6 << 20, 32
 SEED_BYTES = 16
+#: Batches that have a hash, from which on its windows travel one by one; buckets of the texts' table at most.
+HOT_BATCHES, MOST_BUCKETS = 256, 50_000
 
 
 def _codec(raw: bytes) -> bytes:
@@ -75,46 +81,38 @@ def pieces(at: np.ndarray, data: np.ndarray, least: int) -> tuple[np.ndarray, np
     return start, np.minimum(np.repeat(count, parts) - step * PIECE, PIECE), np.repeat(v[begin], parts) >> np.uint64(16)
 
 
-def shared_windows(text: np.ndarray, start: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
-    """For windows of `least` bytes that begin at `start` in `text`: is the same string in a smaller document?
+def lowest_documents(text: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of `least` bytes that begin at `start` in `text`, held by documents from `low` to `high`: the least
+    document that has the same string, and whether two have it.
 
     The frontier holds the suffixes of all intervals that still have two documents, in suffix order; `interval`
     numbers them. Depth grows by one byte a step from the right end of the windows to their left.
     """
-    smaller = np.zeros(len(start), bool)
-    entry = np.arange(len(start))
-    depth = min(8, least)
-    if depth == 8:  # intervals of the first 8 bytes at once, by sorting whole words
-        word = np.zeros(len(start), np.uint64)
-        for k in range(8):
-            word = word << np.uint64(8) | text[start + least - 8 + k]
-    else:
-        depth, word = 0, np.zeros(len(start), np.uint64)
-    entry = entry[np.argsort(word, kind="stable")]
-    word = word[entry]
-    new = np.ones(len(entry), bool)
-    new[1:] = word[1:] != word[:-1]
-    while entry.size:
-        first = np.nonzero(new)[0]
-        d = doc[entry]
-        low = np.minimum.reduceat(d, first)
-        size = np.diff(np.append(first, len(entry)))
-        two = np.maximum.reduceat(d, first) > low
-        if depth == least:
-            smaller[entry] = d > np.repeat(low, size)
-            break
-        live = np.repeat(two, size)
-        entry = entry[live]
+    lowest, several = low.copy(), np.zeros(len(start), bool)
+    entry, interval = np.arange(len(start)), np.zeros(len(start), np.int64)
+    for depth in range(1, least + 1):
         if not entry.size:
             break
-        interval = np.repeat(np.arange(len(size)), size)[live]
-        depth += 1
-        before = text[start[entry] + least - depth]
-        by = np.argsort(before, kind="stable")
+        before = text[start[entry] + (least - depth)]
+        by = np.argsort(before, kind="stable")  # equal bytes keep their suffixes' order, which sorts the longer strings
         entry, interval, before = entry[by], interval[by], before[by]
         new = np.ones(len(entry), bool)
         new[1:] = (interval[1:] != interval[:-1]) | (before[1:] != before[:-1])
-    return smaller
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(entry)))
+        least_doc = np.minimum.reduceat(low[entry], first)
+        two = np.maximum.reduceat(high[entry], first) > least_doc
+        if depth == least:
+            lowest[entry], several[entry] = np.repeat(least_doc, size), np.repeat(two, size)
+        live = np.repeat(two, size)
+        interval = np.repeat(np.arange(len(size)), size)[live]
+        entry = entry[live]
+    return lowest, several
+
+
+def shared_windows(text: np.ndarray, start: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """For windows of one document each: is the same string in a smaller document?"""
+    return lowest_documents(text, start, doc, doc, least)[0] < doc
 
 
 def _batches(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -216,8 +214,9 @@ def _hashes(batches: DataFrame, least: int, n_buckets: int) -> DataFrame:
     return batches.mapInArrow(run, "bucket long, batch long, once binary, more binary")
 
 
-def _shared(hashes: DataFrame) -> DataFrame:
-    """(batch, hashes): those that two documents have. A batch tells each hash once, however many copies it holds."""
+def _shared(hashes: DataFrame, hot: int) -> DataFrame:
+    """(batch, hashes, hot): those that two documents have, apart by whether `hot` batches or more have them. A batch
+    tells each hash once, however many copies it holds."""
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, owner, many, names = [], [], [], []
@@ -236,31 +235,54 @@ def _shared(hashes: DataFrame) -> DataFrame:
         keep = many.copy()
         keep[1:] |= same
         keep[:-1] |= same
-        h, owner = h[keep], owner[keep]
-        by = np.argsort(owner, kind="stable")
-        h, owner = h[by], owner[by]
+        first = np.concatenate([[0], np.flatnonzero(~same) + 1]) if len(h) else np.zeros(0, int)
+        size = np.diff(np.append(first, len(h)))
+        often = np.repeat(size >= hot, size)
+        h, owner, often = h[keep], owner[keep], often[keep]
+        by = np.lexsort((often, owner))
+        h, owner, often = h[by], owner[by], often[by]
         edge = np.searchsorted(owner, np.arange(len(names) + 1))
+        middle = edge[1:] - np.bincount(owner[often], minlength=len(names))
         some = np.nonzero(np.diff(edge))[0].tolist()
         trim()
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.int64()), pa.array([_six(h[edge[i] : edge[i + 1]]) for i in some], pa.binary())], ["batch", "hashes"])
+        columns = [[names[i] for i in some], [_six(h[edge[i] : middle[i]]) for i in some], [_six(h[middle[i] : edge[i + 1]]) for i in some]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["batch", "hashes", "hot"])
+
+    return hashes.groupBy("bucket").applyInArrow(run, "batch long, hashes binary, hot binary")
+
 
-    return hashes.groupBy("bucket").applyInArrow(run, "batch long, hashes binary")
+def _one_by_one(data: np.ndarray, start: np.ndarray, count: np.ndarray, h: np.ndarray, doc: np.ndarray, hot: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """The pieces, with those marked as hot cut into single windows, whose hash is one of all of their bytes."""
+    some = np.flatnonzero(hot)
+    if not some.size:
+        return start, count, h, doc
+    begin, owner = spread(start[some], count[some]), np.repeat(doc[some], count[some])
+    whole = np.zeros(len(begin), np.uint64)
+    for k in range(least):
+        whole = (whole + data[begin + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        whole ^= whole >> np.uint64(32)
+    start, count = np.concatenate([start[~hot], begin]), np.concatenate([count[~hot], np.ones(len(begin), np.int64)])
+    h, doc = np.concatenate([h[~hot], mixed(whole) >> np.uint64(16)]), np.concatenate([doc[~hot], owner])
+    by = np.argsort(start, kind="stable")
+    return start[by], count[by], h[by], doc[by]
 
 
 def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -> DataFrame:
-    """(batch, bucket, body): for each batch and bucket the different pieces with shared hashes and the least document
-    of each; and for each batch, with no bucket, where its pieces are."""
+    """(batch, bucket, body): for each batch and bucket the different pieces with shared hashes and the least and the
+    largest document of each; and for each batch, with no bucket, where its pieces are."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
             row = {c: left.column(c)[0] for c in ("batch", "ids", "sizes", "text")}
-            wanted = np.unique(np.concatenate([_from_six(x.as_buffer()) for x in right.column("hashes")]))
+            plain, hot = (np.concatenate([_from_six(x.as_buffer()) for x in right.column(c)]) for c in ("hashes", "hot"))
+            wanted = np.unique(np.concatenate([plain, hot]))
             ids, at, data = _opened(row)
             start, count, h, doc = _all_pieces(at, data, least)
             k = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             hit = wanted[k] == h
             start, count, h, doc = start[hit], count[hit], h[hit], doc[hit]
+            start, count, h, doc = _one_by_one(data, start, count, h, doc, np.isin(h, hot), least)
             batch = row["batch"].as_py()
             bucket = (h % np.uint64(n_buckets)).astype(np.int64)
             raw = data.tobytes()
@@ -273,11 +295,12 @@ def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -
                 own = np.empty(len(rows), np.int64)
                 for i, (s, c) in enumerate(zip(start[rows].tolist(), count[rows].tolist(), strict=True)):
                     own[i] = seen.setdefault(raw[s : s + c - 1 + least], len(seen))
-                low = np.full(len(seen), np.iinfo(np.int64).max)
+                low, high = np.full(len(seen), np.iinfo(np.int64).max), np.full(len(seen), np.iinfo(np.int64).min)
                 np.minimum.at(low, own, ids[doc[rows]])
+                np.maximum.at(high, own, ids[doc[rows]])
                 number[rows], lowest[rows] = own, low[own]
                 sizes = np.fromiter(map(len, seen), "<u2", len(seen))
-                out.append((batch, int(bucket[rows[0]]), _codec(len(seen).to_bytes(8, "little") + sizes.tobytes() + low.tobytes() + b"".join(seen))))
+                out.append((batch, int(bucket[rows[0]]), _codec(len(seen).to_bytes(8, "little") + sizes.tobytes() + low.tobytes() + high.tobytes() + b"".join(seen))))
             where = np.stack([np.diff(start, prepend=0), count, bucket, number, (ids[doc] > lowest).astype(np.int64)])
             out.append((batch, None, _codec(where.astype("<i4").tobytes())))
             trim()
@@ -288,39 +311,48 @@ def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -
 
 
 def _masks(parts: DataFrame, least: int) -> DataFrame:
-    """(batch, bucket, body): of each piece of a batch, which of its windows a smaller document has. Pieces that many
-    batches have are expanded once, with the least document of all."""
+    """(batch, bucket, body): of each piece of a batch, two masks of its windows: which of them a document has that is
+    smaller than the batch's least with the piece, and which of them two documents have, so that any other document
+    with the piece loses them. Equal pieces of several batches are expanded once, with the least and the largest
+    document of all; intervals alone decide."""
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
-        names, number, own, low = [], [], [], []
+        names, number, own, low, high = [], [], [], [], []
         for batch in source:
             for k in range(batch.num_rows):
                 raw = _plain(batch.column("body")[k].as_buffer()).tobytes()
                 n = int.from_bytes(raw[:8], "little")
-                ends = 8 + 10 * n + np.cumsum(np.frombuffer(raw, "<u2", n, 8).astype(np.int64))
+                at = 8 + 18 * n
+                ends = at + np.cumsum(np.frombuffer(raw, "<u2", n, 8).astype(np.int64))
                 names.append(batch.column("batch")[k].as_py())
                 number.append(n)
                 low.append(np.frombuffer(raw, "<i8", n, 8 + 2 * n))
-                at = 8 + 10 * n
+                high.append(np.frombuffer(raw, "<i8", n, 8 + 10 * n))
                 for e in ends.tolist():
                     own.append(seen.setdefault(raw[at:e], len(seen)))
                     at = e
-        own, low = np.array(own, np.int64), np.concatenate(low)
-        first = np.full(len(seen), np.iinfo(np.int64).max)
+        own, low, high = np.array(own, np.int64), np.concatenate(low), np.concatenate(high)
+        first, last = np.full(len(seen), np.iinfo(np.int64).max), np.full(len(seen), np.iinfo(np.int64).min)
         np.minimum.at(first, own, low)
+        np.maximum.at(last, own, high)
         size = np.fromiter(map(len, seen), np.int64, len(seen))
         text = np.frombuffer(b"".join(seen), np.uint8)
         count = size - least + 1
         piece = np.repeat(np.arange(len(size)), count)
-        inner = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
-        smaller = shared_windows(text, (np.cumsum(size) - size)[piece] + inner, first[piece], least)
-        masks = np.bincount(piece, weights=np.where(smaller, 2.0**inner, 0), minlength=len(size)).astype("<u4")
-        masks = np.where(low > first[own], np.uint32(0xFFFFFFFF), masks[own]).astype("<u4")
+        inner = spread(np.zeros(len(size), np.int64), count)
+        lowest, several = lowest_documents(text, (np.cumsum(size) - size)[piece] + inner, first[piece], last[piece], least)
+        bit = np.uint32(1) << inner.astype(np.uint32)
+        both = np.bitwise_or.reduceat(np.where(several, bit, 0).astype(np.uint32), np.cumsum(count) - count)
+        # a piece's windows as its own batch sees them: smaller than the batch's least document with it
+        entry = np.repeat(np.arange(len(own)), count[own])
+        at = spread((np.cumsum(count) - count)[own], count[own])
+        under = np.where(several[at] & (lowest[at] < low[entry]), bit[at], 0).astype(np.uint32)
+        masks = np.stack([np.bitwise_or.reduceat(under, np.cumsum(count[own]) - count[own]), both[own]]).astype("<u4")
         edge = np.concatenate([[0], np.cumsum(number)])
-        del seen, text, piece, inner, smaller
+        del seen, text, piece, inner, lowest, several, entry, at, under
         trim()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([key[0].as_py()] * len(names), pa.int64()), pa.array([masks[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["batch", "bucket", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([key[0].as_py()] * len(names), pa.int64()), pa.array([masks[:, a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["batch", "bucket", "body"])
 
     return parts.where("bucket is not null").select("bucket", "batch", "body").groupBy("bucket").applyInArrow(run, "batch long, bucket long, body binary")
 
@@ -349,8 +381,8 @@ def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, lik
             for b, m in zip(right.column("bucket").to_pylist(), right.column("body"), strict=True):
                 if b is not None:
                     rows = by[np.searchsorted(ordered, b) : np.searchsorted(ordered, b, "right")]
-                    mask[rows] = np.frombuffer(m.as_buffer(), "<u4")[number[rows]]
-            mask[later > 0] = np.uint64((1 << PIECE) - 1)  # the piece's least document in the batch has all of it
+                    masks = np.frombuffer(m.as_buffer(), "<u4").reshape(2, -1)
+                    mask[rows] = masks[later[rows], number[rows]]  # a later document of the batch loses what two have
             some = np.nonzero(mask)[0]
             count, mask, start = count[some], mask[some], start[some]
             piece = np.repeat(np.arange(len(count)), count)
@@ -388,52 +420,57 @@ def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, lik
     return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, schema)
 
 
-def _kept_by_batch(batches: DataFrame) -> tuple[DataFrame, int]:
-    """The batches as a table that is bucketed by batch, in the shared folder, so that no later step shuffles texts;
-    and the bytes of their texts."""
+def _kept_by_batch(batches: DataFrame, n_bytes: int) -> tuple[DataFrame, int]:
+    """The batches as a table that is bucketed by batch, about half a batch to a bucket, in the shared folder, so that
+    no later step shuffles texts; and the bytes of their texts."""
     spark = batches.sparkSession
     path = scratch(spark, "batches")
     name = path.rpartition("/")[2].replace("-", "_")
-    batches.write.option("path", path).option("compression", "none").bucketBy(scaled_partitions(spark, 16), "batch").saveAsTable(name)
+    n_buckets = min(MOST_BUCKETS, max(16, 2 * n_bytes // BATCH_BYTES))
+    batches.write.option("path", path).option("compression", "none").bucketBy(n_buckets, "batch").saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone; the files are external and the frame knows them
     return table, int(table.agg(F.sum("volume")).first()[0] or 0)
 
 
-def _found(docs: DataFrame, least: int, carry: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _found(docs: DataFrame, least: int, carry: bool, hot: int = HOT_BATCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The packed texts, the pieces that documents share, and which of their windows a smaller document has."""
     if least < 4:
         raise ValueError("the least length is 4 bytes")
-    batches, size = _kept_by_batch(_batches(docs, carry))
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    batches, size = _kept_by_batch(_batches(docs, carry), n_bytes)
     n_hash, n_piece = max(8, size // 3 // HASH_BYTES), max(16, size // PIECE_BYTES)
-    shared = written(_shared(_hashes(batches, least, n_hash)), "shared")
+    shared = written(_shared(_hashes(batches, least, n_hash), hot), "shared")
     parts = written(_parted(batches, shared, least, n_piece), "pieces")
     return batches, parts, _masks(parts, least)
 
 
-def repeats(docs: DataFrame, least: int = 50) -> DataFrame:
+def repeats(docs: DataFrame, least: int = 50, hot: int = HOT_BATCHES) -> DataFrame:
     """Documents of which something goes, in one row for each of their texts: (d, n, sig, n_removed, n_spans,
     kept_sha256)."""
-    return _cut(*_found(docs, least, False), least).distinct()
+    return _cut(*_found(docs, least, False, hot), least).distinct()
 
 
-def cleaned(docs: DataFrame, least: int = 50) -> DataFrame:
+def cleaned(docs: DataFrame, least: int = 50, hot: int = HOT_BATCHES) -> DataFrame:
     """The rows with what is left of their texts (column `text`), without a shuffle of texts.
 
     Characters of which only some bytes remain go too, and so do documents with nothing left. Rows with a null id or
     text stay as they are. Other columns pass through.
     """
     rest = docs.where(F.col("doc_id").isNull() | F.col("text").isNull())
-    return _cut(*_found(docs, least, True), least, docs.schema).unionByName(rest)
+    return _cut(*_found(docs, least, True, hot), least, docs.schema).unionByName(rest)
 
 
-def dedup(docs: DataFrame, least: int = 50) -> DataFrame:
+def dedup(docs: DataFrame, least: int = 50, hot: int = HOT_BATCHES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of the input.
 
     A byte goes if it lies in a string of `least` bytes that also begins in a document with a smaller id; strings are
     those of the input. Null texts are empty; texts shorter than `least` and rows with a null id keep all and remove
-    nothing elsewhere. Rows of one id don't remove each other's bytes. Other columns are ignored.
+    nothing elsewhere. Rows of one id don't remove each other's bytes. Texts of any length are read whole; one longer
+    than a batch is a batch of its own. Other columns are ignored. `hot`: batches that have a hash from which on its
+    windows are dealt one by one; it changes the work's division alone.
     """
-    gone = repeats(docs, least)
+    gone = repeats(docs, least, hot)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     found = gone.select("d", F.lower(F.hex("sig")).alias("sig"), "n_removed", "n_spans", "kept_sha256")

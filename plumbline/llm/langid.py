@@ -72,21 +72,21 @@ def bucket_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, per_language: int = 600, bits: int = 12, rounds: int = 200) -> Model:
+def fit(docs: DataFrame, per_language: int = 600, bits: int = 12, rounds: int = 200, most_languages: int = 500) -> Model:
     """Fits on a bounded sample: of each language, the `per_language` labelled documents outside the held-out
     remainder whose id hashes least. Whole texts count; only n-gram frequencies of the sample reach the driver
-    (at most languages x per_language x 2^bits numbers). The number of languages is taken to be small."""
+    (at most languages x per_language x 2^bits numbers). More than `most_languages` different labels are an error,
+    since everything that is held grows with their number."""
     known = docs.where((bucket_of(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ranked = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id")).alias("h"))
-    picked = ranked.groupBy("lang").agg(F.min_by(F.struct("doc_id"), F.col("h")).alias("one"), F.count("*").alias("n"))
-    shares = {r["lang"]: r["n"] for r in picked.collect()}
+    shares = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(shares) > most_languages:
+        raise ValueError(f"over {most_languages} different labels")
     if not shares:
         return Model((), np.ones((0, 0)), np.zeros((1 << bits, 0)), np.zeros(0), np.zeros(0), bits)
     # an id is in the sample if its hash is under its language's cut, which leaves about per_language of them
-    cut = F.lit(None).cast("long")
-    for lang, n in shares.items():
-        below = 2 * min(1.0, per_language / n) - 1
-        cut = F.when(F.col("lang") == lang, F.lit(int(below * (1 << 63)) if below < 1 else (1 << 63) - 1)).otherwise(cut)
+    below = {lang: 2 * min(1.0, per_language / n) - 1 for lang, n in shares.items()}
+    cuts = F.create_map(*[F.lit(x) for lang, b in sorted(below.items()) for x in (lang, int(b * (1 << 63)) if b < 1 else (1 << 63) - 1)])
+    cut = F.element_at(cuts.cast("map<string,bigint>"), F.col("lang"))
     sample = known.where(F.xxhash64(F.col("doc_id")) <= cut).select("lang", F.col("text").cast("binary").alias("t"))
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,4 +199,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame, per_language: int = 600, bits: int = 12) -> DataFrame:
+    """predict() with a model that fit() learns from the same documents: held-out rows and those without a label take
+    no part in it. An empty table gives no rows."""
     return predict(docs, fit(docs, per_language, bits))

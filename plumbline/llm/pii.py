@@ -38,6 +38,10 @@ AGAINST = {
     "phone": ("serial", "order", "invoice"),
     "iban": ("serial", "licence", "license"),
 }
+FOR, AGAINST = ({k: frozenset(v) for k, v in x.items()} for x in (FOR, AGAINST))
+WORD = re.compile(r"[^\W\d_]+")
+#: Of an added kind: with less, by words nearby that speak against it, the span is left out.
+LEAST_SCORE = 0.8
 START = {"email": 0.8, "ip": 0.5, "card": 0.8, "phone": 0.5, "iban": 0.9}
 STEP, WINDOW = 0.15, 40
 
@@ -78,8 +82,11 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def spans_of(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by kind and start; a match that fails its check is dropped without another trial."""
+def spans_of(text: str, least: float = LEAST_SCORE) -> list[tuple[str, int, int]]:
+    """(kind, start, end) by kind and start; a match that fails its check is dropped without another trial.
+
+    Base kinds stand by their pattern and check alone; an added kind needs a score of `least` too.
+    """
     out = [("email", a, b) for a, b in _emails(text)]
     if "." in text:
         out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
@@ -90,21 +97,31 @@ def spans_of(text: str) -> list[tuple[str, int, int]]:
         out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     for m in IBAN.finditer(text):
         code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
+        if 15 <= len(code) <= 34 and mod97(code) and score(text, "iban", m.start(), m.end()) >= least:
             out.append(("iban", m.start(), m.end()))
     return out
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    """0 to 1: the kind's own weight, raised or lowered by words in the `WINDOW` characters on either side."""
-    near = (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower()
-    s = START[kind] + STEP * sum(w in near for w in FOR[kind]) - STEP * sum(w in near for w in AGAINST[kind])
+    """0 to 1: the kind's own weight, raised or lowered by each of its whole words that lies within the `WINDOW`
+    characters on either side. Words that the window's or the span's borders cut don't count."""
+    near = _whole_words(text, max(0, start - WINDOW), start) | _whole_words(text, end, min(len(text), end + WINDOW))
+    s = START[kind] + STEP * len(near & FOR[kind]) - STEP * len(near & AGAINST[kind])
     return min(1.0, max(0.0, s))
 
 
-def masked(text: str) -> str:
+def _whole_words(text: str, a: int, b: int) -> set[str]:
+    """Runs of letters in text[a:b] that don't go on beyond it, in lower case."""
+    while 0 < a < b and text[a - 1].isalpha() and text[a].isalpha():
+        a += 1
+    while a < b < len(text) and text[b - 1].isalpha() and text[b].isalpha():
+        b -= 1
+    return {w.lower() for w in WORD.findall(text[a:b])}
+
+
+def masked(text: str, least: float = LEAST_SCORE) -> str:
     """The text with each span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    found = sorted(((a, b, k) for k, a, b in spans_of(text)), key=lambda x: (x[0], -x[1]))
+    found = sorted(((a, b, k) for k, a, b in spans_of(text, least)), key=lambda x: (x[0], -x[1]))
     if not found:
         return text
     out, done = [], 0
@@ -119,12 +136,12 @@ def _joined(spans: Iterable[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Spans of every whole text, one row per document and no shuffle.
 
     (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_iban, scores): positions are code points, ends
     exclusive. A null or empty text has no spans (empty strings, digest of no bytes). Repeated rows give repeated
-    results; other columns are ignored. `scores` follows the order of `spans`, two decimals each.
+    results; other columns are ignored. IBANs count from a score of `least` on. `scores` follows the order of `spans`, two decimals each.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +150,7 @@ def find(docs: DataFrame) -> DataFrame:
             digests, spans, scores = [], [], []
             for value in batch.column("t"):
                 text = value.as_py() or ""
-                found = spans_of(text)
+                found = spans_of(text, least)
                 for k in KINDS:
                     counts[k].append(sum(f[0] == k for f in found) if found else 0)
                 digests.append(hashlib.sha256(_joined(f for f in found if f[0] in BASE).encode()).hexdigest())
@@ -148,13 +165,13 @@ def find(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_iban long, scores string")
 
 
-def mask(docs: DataFrame, text_column: str = "text") -> DataFrame:
+def mask(docs: DataFrame, text_column: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """The same rows and columns with personal data in the texts replaced by kind names; null stays null."""
     at = docs.columns.index(text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if (t := v.as_py()) is None else masked(t) for v in batch.column(at)]
+            texts = [None if (t := v.as_py()) is None else masked(t, least) for v in batch.column(at)]
             columns = batch.columns
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)

@@ -84,7 +84,9 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 20) -> DataFrame:
 
     Shard sizes are at most one row apart whatever the texts are, so copies and long documents are spread evenly.
     Texts are not shuffled, only their id, size and checksum. A null text has size 1 and the checksum of no bytes;
-    a null id is numbered like any other. Repeated rows each get a place of their own. Empty input gives no rows.
+    a null id is numbered like any other. Repeated rows each get a place of their own; which of them has which is
+    arbitrary. Texts of any length count by size and checksum alone. Empty input gives no rows. Other columns are
+    ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_hash"))

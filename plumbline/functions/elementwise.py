@@ -24,6 +24,12 @@ def clip(x: Column, low, high) -> Column:
     return F.when(x.isNotNull(), F.least(F.greatest(x, low), high))
 
 
+def uniform(*parts: Column) -> Column:
+    """A number between 0 and 1 that follows from the parts alone: the first 52 bits of their MD5, joined by colons."""
+    text = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 

@@ -10,10 +10,14 @@ from __future__ import annotations
 import math
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from plumbline.functions import arrays as A
+from plumbline.functions import rolling as R
 from plumbline.functions.windows import Series, values
 
 MAD_SCALE, IQR_SCALE = 1.4826, 1.349
@@ -76,26 +80,61 @@ def sigma_clip(s: Series, radius: int = 10, n_sigmas: float = 3.0, rounds: int =
 
 def pressure(s: Series, radius: int = 10, threshold: float = 8.0, n_sigmas: float = 3.0, wide: int = 3, spring: float = 3.0) -> DataFrame:
     """Up to four pairs of centre and scale, weighted by inverse variance, give `pressure`; it is held against
-    `eff_threshold`, which rises where the near window differs from the one `wide` times as far."""
-    df = s.df.select("*", values(s.frame(radius, radius)).alias("_w"), values(s.frame(radius * wide, radius * wide)).alias("_far"), F.concat(values(s.frame(radius, -1)), values(s.frame(-1, radius))).alias("_nb"))
-    w = F.col("_w")
-    df = df.withColumn("_med", A.median(w)).withColumn("_kept", F.when(F.size("_nb") >= 3, A.clipped(F.col("_nb"), n_sigmas, 5)))
-    pair = lambda c, sc: F.struct(c.alias("c"), sc.alias("s"))
-    pairs = F.array(
-        pair(A.mean(w), A.std(w)),
-        pair(F.col("_med"), (A.quantile(w, 0.75) - A.quantile(w, 0.25)) / IQR_SCALE),
-        pair(F.col("_med"), MAD_SCALE * A.median(A.deviations(w, F.col("_med")))),
-        pair(A.mean(F.col("_kept")), A.std(F.col("_kept"))),
-    )
-    df = df.withColumn("_pairs", F.when((F.size("_w") >= 4) & F.col("x").isNotNull(), F.filter(pairs, lambda p: p["s"] > 1e-12)))
-    inverse = F.transform("_pairs", lambda p: 1 / (p["s"] * p["s"]))
-    df = df.withColumn("_sum", A.total(inverse))
-    centre = A.total(F.transform("_pairs", lambda p: p["c"] / (p["s"] * p["s"]))) / F.col("_sum")
-    usable = F.col("_pairs").isNotNull() & (F.size("_pairs") > 0)
-    held = F.when(usable, F.abs(F.col("x") - centre) * F.sqrt("_sum")).otherwise(F.lit(0.0))
-    raised = F.when(usable, threshold * (1 + spring * A.jensen_shannon(F.col("_w"), F.col("_far")))).otherwise(F.lit(threshold))
-    df = df.withColumn("pressure", held).withColumn("eff_threshold", raised)
-    return _finish(df, F.col("pressure") > F.col("eff_threshold"), F.col("_med"), ["_w", "_far", "_nb", "_med", "_kept", "_pairs", "_sum"])
+    `eff_threshold`, which rises where the near window differs from the one `wide` times as far.
+
+    Each window is sorted once and all its statistics are read from it, in one pass over Arrow batches.
+    """
+    out = StructType([StructField("pressure", DoubleType()), StructField("eff_threshold", DoubleType()), StructField("is_anomaly", BooleanType()), StructField("clean", DoubleType())])
+
+    def compute(x: np.ndarray, series: np.ndarray, begin: int, end: int) -> list[pa.Array]:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            w, far = R.windows(x, series, begin, end, radius), R.windows(x, series, begin, end, radius * wide)
+            own, around = x[begin:end], np.delete(w, radius, 1)
+            n, mean, std = R.moments(w)
+            ordered = np.sort(w, 1)
+            med = R.quantile(ordered, n, 0.5)
+            mad = MAD_SCALE * R.quantile(np.sort(np.abs(w - med[:, None]), 1), n, 0.5)
+            kept = around.copy()
+            for _ in range(5):
+                k, m, sd = R.moments(kept)
+                cut = (k >= 2) & (sd >= 1e-12)
+                kept = np.where(cut[:, None], np.where(np.abs(around - m[:, None]) <= n_sigmas * sd[:, None], around, np.nan), kept)
+            _, m, sd = R.moments(kept)
+            sd[(~np.isnan(around)).sum(1) < 3] = np.nan
+            centres = np.stack([mean, med, med, m], 1)
+            scales = np.stack([std, (R.quantile(ordered, n, 0.75) - R.quantile(ordered, n, 0.25)) / IQR_SCALE, mad, sd], 1)
+            weights = np.where(scales > 1e-12, 1 / scales**2, 0)
+            total = weights.sum(1)
+            usable = (n >= 4) & ~np.isnan(own) & (total > 0)
+            centre = np.where(weights > 0, centres * weights, 0).sum(1) / total
+            held = np.where(usable, np.abs(own - centre) * np.sqrt(total), 0.0)
+            raised = np.where(usable, threshold * (1 + spring * _jensen_shannon(w, far)), threshold)
+            flag = held > raised
+            clean = np.where(flag, med, own)
+        return [pa.array(held), pa.array(raised), pa.array(flag), pa.array(clean, mask=np.isnan(clean))]
+
+    return R.streamed(s, radius * wide, out, compute)
+
+
+def _jensen_shannon(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """arrays.jensen_shannon for rows of two matrices; NaN isn't there."""
+    both = np.concatenate([a, b], 1)
+    inside = ~np.isnan(both)
+    low, high = np.where(inside, both, np.inf).min(1), np.where(inside, both, -np.inf).max(1)
+    bins = np.clip(inside.sum(1) // 6, 3, 10)
+    step = (high - low) / bins
+    flat = ~(high - low >= 1e-12)
+
+    def shares(w: np.ndarray) -> np.ndarray:
+        # values at or above the lower edge of each bin, and from these those within
+        above = np.stack([(~np.isnan(w)).sum(1), *[np.where(k < bins, (w >= (low + k * step)[:, None]).sum(1), 0) for k in range(1, 10)], np.zeros(len(w), int)], 1)
+        counts = np.where(np.arange(10) < bins[:, None], above[:, :-1] - above[:, 1:] + 1.0, 0)
+        return counts / counts.sum(1, keepdims=True)
+
+    p, q = shares(a), shares(b)
+    m = np.where(p + q > 0, 0.5 * (p + q), 1)
+    terms = 0.5 * np.where(p > 0, p * np.log2(np.where(p > 0, p, 1) / m), 0) + 0.5 * np.where(q > 0, q * np.log2(np.where(q > 0, q, 1) / m), 0)
+    return np.where(flat, 0.0, terms.sum(1))
 
 
 def divergence(s: Series, radius: int = 10, wide: int = 3) -> DataFrame:

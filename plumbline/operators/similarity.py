@@ -12,6 +12,8 @@ from plumbline.functions.elementwise import damping_blend
 
 # Default knobs of the score.
 KAPPA, STRESS = 0.86210, 9.42194e-04
+#: References of all shapes up to which a bank is broadcast.
+BROADCAST_BANK = 20_000
 
 
 def stress_factor(stress: float = STRESS) -> float:
@@ -41,8 +43,12 @@ def doubles(v: Column) -> Column:
 
 
 def scores(table: DataFrame, query: DataFrame, vector: str = "embedding", kappa: float = KAPPA, stress: float = STRESS) -> DataFrame:
-    """Adds `score` of every row against the one row of `query` (column `query`), which is broadcast."""
-    one = query.select(unit(doubles(F.col("query"))).alias("_q")).limit(1)
+    """Adds `score` of every row against the one row of `query` (column `query`), which is broadcast. A query table
+    of more rows is an error; of none, there are no scores."""
+    found = query.select(doubles(F.col("query")).alias("q")).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("one query at a time")
+    one = table.sparkSession.createDataFrame([tuple(r) for r in found], "q array<double>").select(unit(F.col("q")).alias("_q"))
     return table.crossJoin(F.broadcast(one)).withColumn("score", resonance(doubles(F.col(vector)), F.col("_q"), kappa, stress)).drop("_q")
 
 
@@ -58,9 +64,12 @@ def remembered(bank: DataFrame, most: int = 32, shape: str = "shape", seq: str =
 
 def recall(inputs: DataFrame, bank: DataFrame, least: float = 0.90, most: int = 32, key: str = "id", shape: str = "shape", vector: str = "vec", seq: str = "seq") -> DataFrame:
     """(key, recalled, score, reference): the best of the last `most` references of the same shape, the earliest of
-    equal ones; null below `least`. A score that isn't a number recalls nothing. At most `most` rows per input."""
+    equal ones; null below `least`. A score that isn't a number recalls nothing. At most `most` rows per input. A bank
+    of up to BROADCAST_BANK references is broadcast, so that few shapes are no few tasks; a larger one is dealt by shape."""
     refs = remembered(bank, most, shape, seq).select(shape, F.col(seq).alias("_seq"), doubles(F.col(vector)).alias("_ref"))
     asked = inputs.select(key, shape, unit(doubles(F.col(vector))).alias("_q"))
+    if refs.count() <= BROADCAST_BANK:
+        refs = F.broadcast(refs)
     met = asked.join(refs, shape, "left").withColumn("_score", F.when(F.col("_ref").isNotNull(), resonance(F.col("_ref"), F.col("_q"))))
     met = met.withColumn("_score", F.when(~F.isnan("_score"), F.col("_score")))
     best = met.groupBy(key).agg(F.max_by(F.struct("_seq", "_ref", "_score"), F.struct("_score", -F.col("_seq"))).alias("b"))

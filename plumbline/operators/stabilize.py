@@ -42,14 +42,15 @@ PRESETS: dict[str, Stabilizer] = {
 
 
 def step(p, vol, m, x, conf: Stabilizer, threshold, hard=False, left=None, up=None):
-    """One position of many series at once: new output, volatility and local mean. NaN in x is a missing value."""
+    """One position of many series at once: new output, volatility and local mean. NaN in x is a missing value, and a
+    neighbour that is missing counts as the last output."""
     missing = np.isnan(x)
     x = np.where(missing, p, x)
     d = np.abs(x - p)
     if left is None:
         diff, coherence = d, np.clip(1 - d / 2, 0, 1)
     else:
-        dl, du = np.abs(x - np.where(np.isnan(left), x, left)), np.abs(x - np.where(np.isnan(up), x, up))
+        dl, du = np.abs(x - np.where(np.isnan(left), p, left)), np.abs(x - np.where(np.isnan(up), p, up))
         diff = d / 2 + dl / 4 + du / 4
         coherence = np.clip(0.4 * (1 - d / 2) + 0.3 * (1 - dl / 2) + 0.3 * (1 - du / 2), 0, 1)
     local = np.clip(1 - np.abs(x - m) / (2 * np.maximum(np.abs(m), 1e-3)), 0, 1)
@@ -161,6 +162,28 @@ def fold(series: np.ndarray, conf: Stabilizer | None = None, threshold: float |
     return scan(np.asarray(series, float)[None], conf, np.array([conf.threshold if threshold is None else threshold]))[0]
 
 
+def simple_damping(s: Series, threshold: float = 0.15, low: float = 0.10, high: float = 0.85, alpha: float = 0.05) -> DataFrame:
+    """Adds `damped`: the core of the filter alone. A step above the threshold and the mean of steps so far takes the
+    weight `high`, as a missing point does, and any other `low`. The first point passes, as 0 if it is missing."""
+
+    order = list(s.order)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        x, out = rows["x"].to_numpy(dtype=float, na_value=np.nan), np.empty(len(rows))
+        p, vol = 0.0 if np.isnan(x[0]) else x[0], 0.0
+        for i in range(len(x)):
+            missing = np.isnan(x[i])
+            d = 0.0 if missing else abs(x[i] - p)
+            vol = (1 - alpha) * vol + alpha * d
+            if not missing:
+                p += (high if d > threshold + vol else low) * (x[i] - p)
+            out[i] = p
+        return rows.assign(damped=out)
+
+    return s.df.groupBy(*s.key).applyInPandas(run, with_double(s.df.schema, "damped"))
+
+
 def scenario_states(params: Column, base: float = 0.0, keep: float = 0.95, gain: float = 0.05) -> Column:
     """All states of s <- keep * s + gain * p over an array, by an ordered fold."""
     start = F.struct(F.lit(float(base)).alias("s"), F.array().cast("array<double>").alias("all"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays as A
+from plumbline.functions.elementwise import uniform
+from plumbline.runtime import scratch
 
 
 def bit_swap(v: Column, bits: int, target: int, control: int) -> Column:
@@ -38,17 +40,14 @@ def inject_noise(v: Column, kind: str, intensity: float, seed: int = 42, id_: Co
     if intensity <= 0 or kind == "clean":
         return v
     row = F.lit(0) if id_ is None else id_
-
-    def uniform(i: Column, salt: int) -> Column:
-        return (F.pmod(F.xxhash64(row, i, F.lit(seed), F.lit(salt)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-
-    hit = lambda i: uniform(i, 1) < float(intensity)
+    drawn = lambda i, salt: uniform(row, i, F.lit(seed), F.lit(salt))
+    hit = lambda i: drawn(i, 1) < float(intensity)
     if kind == "bitflip":
         out = F.transform(v, lambda x, i: F.when(hit(i), -x).otherwise(x))
     elif kind == "dropout_noise":
         out = F.transform(v, lambda x, i: F.when(hit(i), F.lit(0.0)).otherwise(x))
     elif kind == "gaussian_blur":
-        out = F.transform(v, lambda x, i: x + float(intensity) * F.sqrt(-2 * F.log(uniform(i, 2))) * F.cos(2 * math.pi * uniform(i, 3)))
+        out = F.transform(v, lambda x, i: x + float(intensity) * F.sqrt(-2 * F.log(drawn(i, 2))) * F.cos(2 * math.pi * drawn(i, 3)))
     else:
         out = v
     return A.let(out, lambda o: A.let(A.norm(o), lambda n: F.when(n > 0, F.transform(o, lambda x: x / (n + 1e-15))).otherwise(o)))
@@ -83,12 +82,24 @@ def patched(template: DataFrame, params: DataFrame, key: str, order: str, op: st
 
 
 def row_blocks(df: DataFrame, order: str, size: int, key: tuple[str, ...] = ()) -> DataFrame:
-    """Adds `block`: rows in order, `size` to a block, the last one short. Without a key one task numbers all rows,
-    so give large tables one."""
+    """Adds `block`: rows in order, `size` to a block, the last one short. Without a key rows are sorted over all tasks
+    and numbered from the counts of these; rows that tie in order are interchangeable."""
     if size < 1:
         raise ValueError("block size must be positive")
-    over = Window.partitionBy(*key).orderBy(order) if key else Window.orderBy(order)
-    return df.withColumn("block", F.floor((F.row_number().over(over) - 1) / size))
+    if key:
+        return df.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1) / size))
+    sorted_ = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    path = scratch(df.sparkSession, "blocks")  # written once, so that counts and places are of one and the same sorting
+    sorted_.write.parquet(path)
+    rows = df.sparkSession.read.schema(sorted_.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    bases = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_base"))  # one row a task
+    return rows.join(F.broadcast(bases), "_part").withColumn("block", F.floor((F.col("_base") + F.col("_at")) / size)).drop("_id", "_part", "_at", "_base")
+
+
+def merged_blocks(df: DataFrame, order: str, values: str) -> DataFrame:
+    """(values): the arrays of all blocks end to end, by `order`, for blocks that fit one row together."""
+    return df.groupBy().agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(values).alias("v")))), lambda b: b["v"])).alias(values))
 
 
 #: The static transforms, row by row.

@@ -10,7 +10,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays as A
-from plumbline.functions.elementwise import PHI, clip, sigmoid
+from plumbline.functions.elementwise import PHI, clip, sigmoid, uniform
 
 #: Defaults of ops given by name alone.
 DEFAULTS = {"dropout": (0.8, 0.0), "clip": (-1.0, 1.0), "scale": (PHI, 0.25)}
@@ -53,8 +53,7 @@ def one(op: Op, v: Column, seed: int = 42, id_: Column | None = None) -> Column:
         return A.let(v, lambda w: A.let(A.norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
     if op.name == "dropout" and op.p1 > 0:
         row = F.lit(0) if id_ is None else id_
-        kept = lambda i: (F.pmod(F.xxhash64(row, i, F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)) < op.p1
-        return F.transform(v, lambda x, i: F.when(kept(i), x / op.p1).otherwise(F.lit(0.0)))
+        return F.transform(v, lambda x, i: F.when(uniform(row, i, F.lit(seed)) < op.p1, x / op.p1).otherwise(F.lit(0.0)))
     return v
 
 

@@ -6,6 +6,7 @@ sides alike. Vectors are `embeddings`. Floating-point results are rounded, since
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -13,12 +14,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline import runtime
 from plumbline.functions import elementwise as E
 from plumbline.functions.windows import Series, in_blocks, own_rows
 from plumbline.operators import detect, shield, similarity, stabilize, trigger, vectors
 from plumbline.operators.detect import chauvenet_cut
 from plumbline.plans import pipeline
-from plumbline.sources import reports
+from plumbline.sources import readers, reports
 
 KEY = ("user_id", "event_id")
 
@@ -233,9 +235,21 @@ def mad_zscore(spark, d):
     return trigger.mad_zscore(corrupted(spark, d)).select(*KEY, r6("z", 4), "is_anomaly")
 
 
-@query()
+DRIFT = """dk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS cnt, median(x) OVER (PARTITION BY user_id) AS mid FROM x WHERE x IS NOT NULL),
+dg AS (SELECT user_id, max(cnt) AS cnt, max(cnt) // 3 AS t, median(x) FILTER (i <= cnt // 3) AS a, median(x) FILTER (i > cnt - cnt // 3) AS b FROM dk GROUP BY user_id),
+dr AS (SELECT user_id, CASE WHEN cnt >= 9 THEN (b - a) / greatest(1, cnt - t) ELSE 0.0 END AS rate FROM dg)"""
+
+
+@query(f"WITH {X}, {FILL}, {BLIND}, {UNION}, {DRIFT} SELECT user_id, count(*) AS points, round(avg(k), 6) AS mean_k, 1.0::DOUBLE AS level, count(*) FILTER (is_anomaly) AS n_anomalies, coalesce(min(idx) FILTER (is_anomaly), -1) AS first_at, coalesce(sum(idx) FILTER (is_anomaly), 0)::BIGINT AS sum_at, count(*) FILTER (is_anomaly AND x IS NULL) AS n_missing, round(any_value(rate), 6) AS rate FROM an JOIN dr USING (user_id) GROUP BY user_id")
 def report_json(spark, d):
-    return trigger.Shield().report(corrupted(spark, d)).select("user_id", "points", "json")
+    """Fields of the JSON text of each report."""
+    form = "points long, mean_k double, level double, rate double, anomalies array<struct<idx: long, raw: string, clean: string, k: int>>"
+    r = trigger.Shield().report(corrupted(spark, d)).select("user_id", F.from_json("json", form).alias("j")).select("user_id", "j.*")
+    at = F.transform("anomalies", lambda a: a["idx"])
+    return r.select(
+        "user_id", "points", r6("mean_k"), "level", F.size("anomalies").cast("long").alias("n_anomalies"), F.coalesce(F.array_min(at), F.lit(-1).cast("long")).alias("first_at"),
+        F.aggregate(at, F.lit(0).cast("long"), lambda a, i: a + i).alias("sum_at"), F.size(F.filter("anomalies", lambda a: a["raw"] == "NaN")).cast("long").alias("n_missing"), r6("rate"),
+    )
 
 
 @query("SELECT o_orderkey, round(least(greatest(1 - h / (ln(greatest(2, v)) + 1e-12), 0), 1), 6) AS level FROM (SELECT o_orderkey, (o_orderkey % 100) / 10.0 AS h, o_custkey % 50 AS v FROM orders)")
@@ -371,25 +385,13 @@ def similarity_top1(spark, d):
     return similarity.top(e, e.where("vec_id = 7").select(F.col("v").alias("query")), 1, "v").select("vec_id", r6("score"))
 
 
-@query(f"""WITH {VEC}, bank AS (SELECT vec_id % 3 AS shape, vec_id AS seq, v FROM e WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id DESC) <= 32),
-asked AS (SELECT vec_id AS id, vec_id % 3 AS shape, list_transform(v, lambda z: z / sqrt(list_dot_product(v, v))) AS q FROM e WHERE vec_id % 5 = 0),
-met AS (SELECT id, seq, {score_sql('b.v', 'a.q')} AS score FROM asked a JOIN bank b USING (shape)),
-best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, seq) = 1)
-SELECT id, CASE WHEN score >= 0.9 THEN seq END AS recalled, round(score, 6) AS score FROM best""")
-def bank_recall(spark, d):
-    e = embedded(spark, d)
-    bank = e.where("vec_id % 2 = 0").select((F.col("vec_id") % 3).alias("shape"), F.col("vec_id").alias("seq"), F.col("v").alias("vec"))
-    asked = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("shape"), F.col("v").alias("vec"))
-    return similarity.recall(asked, bank).select("id", "recalled", r6("score"))
-
-
 @query(f"""WITH {VEC}, bank AS (SELECT vec_id % 3 AS shape, vec_id AS seq, v FROM e QUALIFY row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id DESC) <= 32),
 asked AS (SELECT vec_id AS id, vec_id % 3 AS shape, list_transform(v, lambda z: z / sqrt(list_dot_product(v, v))) AS q FROM e),
 met AS (SELECT id, seq, {score_sql('b.v', 'a.q')} AS score FROM asked a JOIN bank b USING (shape)),
 best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, seq) = 1)
 SELECT id, CASE WHEN score >= 0.9 THEN seq END AS recalled, round(score, 6) AS score FROM best""")
 def bank_recall_whole(spark, d):
-    """Every vector asked and every one remembered; bank_recall, as its SQL, asks each fifth and remembers each second."""
+    """Every vector asked and every one remembered."""
     e = embedded(spark, d).select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("shape"), F.col("v").alias("vec"))
     return similarity.recall(e, e.withColumnRenamed("id", "seq")).select("id", "recalled", r6("score"))
 
@@ -429,6 +431,27 @@ def pipe_grad(spark, d):
     return exploded(embedded(spark, d), pipeline.gradient(pipeline.compiled([("scale", 2, 0.1), "tanh"]), F.col("v")))
 
 
+GRADS = {
+    "relu": (["relu"], "list_transform(v, lambda z: CASE WHEN z > 0 THEN 2 * z / {c} ELSE 0 END)"),
+    "sigmoid": (["sigmoid"], "list_transform(list_transform(v, lambda z: 1 / (1 + exp(-z))), lambda t: 2 * t / {c} * t * (1 - t))"),
+    "clip": ([("clip", -0.1, 0.1)], "list_transform(v, lambda z: CASE WHEN z BETWEEN -0.1 AND 0.1 THEN 2 * z / {c} ELSE 0 END)"),
+    "l2": (["l2_normalize", ("scale", 2, 0.1)], "list_transform(list_zip(u, list_transform(u, lambda z: 4 * (2 * z + 0.1) / {c})), lambda z: (z[2] - z[1] * list_dot_product(u, list_transform(u, lambda t: 4 * (2 * t + 0.1) / {c}))) / n)"),
+}
+
+
+def _grad_query(name: str, ops: list, sql: str) -> None:
+    def run(spark, d):
+        return exploded(embedded(spark, d), pipeline.gradient(pipeline.compiled(ops), F.col("v")))
+
+    run.__name__ = name
+    source = "a AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e), b AS (SELECT *, list_transform(v, lambda z: z / n) AS u FROM a)"
+    query(f"WITH {VEC}, {source}, s AS (SELECT vec_id, {sql.format(c=repr(pipeline.LOSS_SCALE))} AS w FROM b) {PLACES}")(run)
+
+
+for _name, (_ops, _sql) in GRADS.items():
+    _grad_query(f"pipe_grad_{_name}", _ops, _sql)
+
+
 @query(f"WITH {VEC}, s AS (SELECT vec_id, list_transform(range(0, 64), lambda i: v[CASE WHEN i & 16 <> 0 THEN xor(i, 4) ELSE i END + 1]) AS w FROM e) {PLACES}")
 def bit_swap(spark, d):
     return exploded(embedded(spark, d), vectors.bit_swap(F.col("v"), 6, target=3, control=1))
@@ -439,23 +462,11 @@ def chunk_blocks(spark, d):
     return vectors.row_blocks(table(spark, d, "embeddings").select("vec_id"), "vec_id", 48).groupBy("block").agg(F.count("*").alias("size"))
 
 
-@query("""WITH t AS (SELECT l_orderkey % 50 AS k, n AS place, CASE WHEN l_linenumber % 2 = 0 THEN -1.0 ELSE l_linenumber END::DOUBLE AS op FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) WHERE n <= 40),
-s AS (SELECT *, sum(CASE WHEN op = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY place) AS i FROM t)
-SELECT k, place, op, CASE WHEN op = -1 THEN k * 100.0 + least(i, 9) ELSE op END::DOUBLE AS patched FROM s""")
-def patch_params(spark, d):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy(F.col("l_orderkey") % 50).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    t = table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("k"), nth.cast("long").alias("place"), F.when(F.col("l_linenumber") % 2 == 0, F.lit(-1.0)).otherwise(F.col("l_linenumber").cast("double")).alias("op")).where("place <= 40")
-    p = t.select("k").distinct().select("k", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(9).cast("long"))).alias("place")).withColumn("value", F.col("k") * 100.0 + F.col("place"))
-    return vectors.patched(t, p, "k", "place")
-
-
 @query("""WITH t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place, CASE WHEN l_linenumber % 2 = 0 THEN -1.0 ELSE l_linenumber END::DOUBLE AS op FROM lineitem),
 s AS (SELECT *, sum(CASE WHEN op = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY place) AS i FROM t)
 SELECT k, place, op, CASE WHEN op = -1 THEN k * 100::DOUBLE + least(i, 9) ELSE op END AS patched FROM s""")
 def patch_params_whole(spark, d):
-    """Every line of every order; patch_params, as its SQL, has the first 40 of 50 groups."""
+    """Every line of every order."""
     from pyspark.sql import Window
 
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
@@ -476,12 +487,25 @@ def noise_bitflip(spark, d):
     return exploded(embedded(spark, d), vectors.inject_noise(F.col("v"), "bitflip", 1.0))
 
 
-@query()
+def drawn_sql(i: str, *salt: int) -> str:
+    """The number that elementwise.uniform gives for a vector's id, a place, the seed 42 and a salt."""
+    return f"((('0x' || substr(md5(concat_ws(':', vec_id, {i}, 42{''.join(f', {k}' for k in salt)})), 1, 13))::UBIGINT + 0.5) / {2.0**52!r}::DOUBLE)"
+
+
+NORMED = "list_transform(w, lambda z: CASE WHEN list_dot_product(w, w) > 0 THEN z / (sqrt(list_dot_product(w, w)) + 1e-15) ELSE z END)"
+
+
+@query(f"WITH {VEC}, t AS (SELECT vec_id, list_transform(range(0, 64), lambda i: v[i + 1] + 0.2 * sqrt(-2 * ln({drawn_sql('i', 2)})) * cos(2 * pi() * {drawn_sql('i', 3)})) AS w FROM e), s AS (SELECT vec_id, {NORMED} AS w FROM t) {PLACES}")
 def noise_gaussian(spark, d):
     return exploded(embedded(spark, d), vectors.inject_noise(F.col("v"), "gaussian_blur", 0.2, 42, F.col("vec_id")))
 
 
-@query()
+@query(f"WITH {VEC}, t AS (SELECT vec_id, list_transform(range(0, 64), lambda i: CASE WHEN {drawn_sql('i', 1)} < 0.2 THEN 0 ELSE v[i + 1] END) AS w FROM e), s AS (SELECT vec_id, {NORMED} AS w FROM t) {PLACES}")
+def noise_dropout(spark, d):
+    return exploded(embedded(spark, d), vectors.inject_noise(F.col("v"), "dropout_noise", 0.2, 42, F.col("vec_id")))
+
+
+@query(f"WITH {VEC}, s AS (SELECT vec_id, list_transform(range(0, 64), lambda i: CASE WHEN {drawn_sql('i')} < 0.8 THEN v[i + 1] / 0.8 ELSE 0 END) AS w FROM e) {PLACES}")
 def dropout(spark, d):
     return exploded(embedded(spark, d), pipeline.run(pipeline.compiled(["dropout"]), F.col("v"), 42, F.col("vec_id")))
 
@@ -493,6 +517,20 @@ def collapse(spark, d):
     return exploded(e, F.col("c.vec"))
 
 
+@query(f"WITH {VEC}, a AS (SELECT *, (vec_id % 10) / 10.0 AS u, list_sum(list_transform(v[1:20], lambda z: abs(z))) AS h, list_sum(list_transform(v, lambda z: abs(z))) AS t FROM e) SELECT vec_id, CASE WHEN u < h / t THEN 0 ELSE 1 END AS result FROM a")
+def collapse_result(spark, d):
+    return embedded(spark, d).select("vec_id", vectors.collapse(F.col("v"), 20, F.col("vec_id") % 10 / 10.0)["result"].alias("result"))
+
+
+@query("SELECT n_nationkey // 7 AS block, string_agg(n_name, ',' ORDER BY n_nationkey) AS names, count(*) AS size FROM nation GROUP BY 1 UNION ALL SELECT -1, string_agg(n_name, ',' ORDER BY n_nationkey), count(*) FROM nation")
+def chunks_merged(spark, d):
+    """Blocks of seven, and all of them put together again."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    blocks = vectors.row_blocks(n, "n_nationkey", 7).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("v"))
+    both = blocks.unionByName(vectors.merged_blocks(blocks, "block", "v").withColumn("block", F.lit(-1).cast("long")))
+    return both.select("block", F.array_join("v", ",").alias("names"), F.size("v").cast("long").alias("size"))
+
+
 # ---- recurrences and the model shield -------------------------------------------------------------------------
 
 
@@ -531,14 +569,62 @@ def stabilize_1d(spark, d):
     return stabilize.stabilize_stream(corrupted(spark, d)).select(*KEY, r6("filtered", 4))
 
 
-@query()
+def fold_sql(name: str, source: str, key: str, c: stabilize.Stabilizer, thr: str = "thr", batch: bool = True, hard: str = "false", grid: bool = False) -> str:
+    """A recursive table (key, idx, p): the filter over `source` (key, idx, x, and columns that thr and hard name).
+    grid: with l and u, the values to the left and above. batch: the first point is filtered like any other."""
+    usual, a = E.ALPHA + E.SIGMA, 1 / (max(c.radius, 1) + 1)
+    extra = ", ".join([w for w in (thr, hard) if w.isidentifier() and w != "false"] + (["l", "u"] if grid else []))
+    extra = f", {extra}" if extra else ""
+    diff, coherence = ("dt / 2 + dl / 4 + du / 4", "0.4 * (1 - dt / 2) + 0.3 * (1 - dl / 2) + 0.3 * (1 - du / 2)") if grid else ("dt", "1 - dt / 2")
+    sides = ", abs(xx - coalesce(l, p)) AS dl, abs(xx - coalesce(u, p)) AS du" if grid else ""
+
+    def step(rows: str) -> str:
+        return f"""SELECT {key}, idx, y AS p, v2 AS vol, {1 - a!r} * m + {a!r} * y AS m FROM (
+SELECT *, {c.blend!r} * y0 + {1 - c.blend!r} * (local * y0 + (1 - local) * y0 * CASE WHEN diff > lim OR miss THEN 0.7 * sqrt(p * p + 1e-7) / (sqrt(y0 * y0 + 1e-7) + 1e-7) + 0.3 ELSE 1 END) AS y FROM (
+SELECT *, (1 - k) * p + k * xx AS y0 FROM (SELECT *, (1 - st) * calm + st * wild AS k FROM (
+SELECT *, CASE WHEN miss THEN 1.0 ELSE least(greatest((diff - lim) / (lim + 1e-7), 0), 1) END AS st,
+ least(greatest((coh + local) / 2 * {usual!r} / ({usual!r} + v2 + 1e-7), {E.GAIN_LOW!r}), {E.GAIN_HIGH!r}) AS calm,
+ least(greatest(reach / (reach + diff + 1e-7), CASE WHEN {hard} THEN 0.0 ELSE {c.k_min!r} END), {c.k_max!r}) AS wild FROM (
+SELECT *, {thr} + {c.sigma_mult!r} * v2 AS lim, {E.C_ANOMALY!r} * greatest(abs(p), 1e-8) AS reach FROM (
+SELECT *, {1 - c.alpha!r} * vol + {c.alpha!r} * diff AS v2, least(greatest(1 - abs(xx - m) / (2 * greatest(abs(m), 1e-3)), 0), 1) AS local FROM (
+SELECT *, {diff} AS diff, least(greatest({coherence}, 0), 1) AS coh FROM (
+SELECT *, abs(xx - p) AS dt{sides} FROM (SELECT *, x IS NULL AS miss, coalesce(x, p) AS xx FROM ({rows}))))))))))"""
+
+    begin = f"SELECT {key}, idx, x{extra}, coalesce(x, 0.0) AS p, 0.0::DOUBLE AS vol, coalesce(x, 0.0) AS m FROM {source} WHERE idx = 0"
+    first = step(begin) if batch else f"SELECT {key}, idx, p, vol, m FROM ({begin})"
+    return f"{name} AS ({first} UNION ALL {step(f'SELECT n.{key}, n.idx, n.x' + extra.replace(', ', ', n.') + f', g.p, g.vol, g.m FROM {name} g JOIN {source} n ON n.{key} = g.{key} AND n.idx = g.idx + 1')})"
+
+
+def calibrated_sql(source: str, key: str | None, least: float) -> str:
+    """(key, thr) over the values of `source`."""
+    k = f"{key}, " if key else ""
+    thr = f"CASE WHEN max(dd) IS NULL THEN {least!r} WHEN max(dd) > 3 AND max(dd) / (avg(dd) + 1e-5) > 5 THEN 1e-5 ELSE 0.1 * stddev_pop(x) END AS thr"
+    return f"SELECT {k}{thr} FROM (SELECT {k}x, abs(x - lag(x) OVER (PARTITION BY {key or 'vec_id'} ORDER BY idx)) AS dd FROM {source}){f' GROUP BY {key}' if key else ''}"
+
+
+_GRID = stabilize.PRESETS["balanced_v2"]
+
+
+@query(f"""WITH RECURSIVE {VEC}, raw AS (SELECT vec_id, unnest(range(0, 64)) AS idx, unnest(v) AS y FROM e), g0 AS (SELECT vec_id, idx, CASE WHEN (7 * vec_id + 11 * idx) % 29 = 0 THEN NULL ELSE y END AS x FROM raw),
+g1 AS (SELECT *, CASE WHEN idx % 8 = 0 THEN x ELSE lag(x, 1) OVER o END AS l, CASE WHEN idx < 8 THEN x ELSE lag(x, 8) OVER o END AS u FROM g0 WINDOW o AS (PARTITION BY vec_id ORDER BY idx)),
+cal AS MATERIALIZED ({calibrated_sql('g0', None, _GRID.threshold)}), src AS MATERIALIZED (SELECT g1.*, thr FROM g1, cal), {fold_sql('go', 'src', 'vec_id', _GRID, grid=True)}
+SELECT vec_id, idx AS pos, round(p, 6) AS filtered FROM go""")
 def stabilize_2d(spark, d):
-    """Vectors as grids of 8 by 8."""
+    """Vectors as grids of 8 by 8 with missing values, also beside each other and on the borders."""
     e = embedded(spark, d).select("vec_id", F.posexplode("v").alias("pos", "value"))
-    out = stabilize.stabilize_batch(Series.of(e, "vec_id", "pos"), stabilize.PRESETS["balanced_v2"], width=8)
+    e = e.withColumn("value", F.when((7 * F.col("vec_id") + 11 * F.col("pos")) % 29 != 0, F.col("value")))
+    out = stabilize.stabilize_batch(Series.of(e, "vec_id", "pos"), _GRID, width=8)
     return out.select("vec_id", F.col("pos").cast("long").alias("pos"), r6("filtered"))
 
 
+@query(f"""WITH RECURSIVE {X}, go AS (SELECT user_id, event_id, idx, coalesce(x, 0.0) AS p, 0.0::DOUBLE AS vol FROM x WHERE idx = 0
+UNION ALL SELECT user_id, event_id, idx, p + CASE WHEN x IS NULL THEN 0 WHEN d > 0.15 + v2 THEN 0.85 ELSE 0.10 END * (xx - p), v2 FROM (SELECT *, 0.95 * vol + 0.05 * d AS v2 FROM (SELECT *, abs(xx - p) AS d FROM (SELECT n.*, coalesce(n.x, g.p) AS xx, g.p, g.vol FROM go g JOIN x n ON n.user_id = g.user_id AND n.idx = g.idx + 1))))
+SELECT user_id, event_id, round(p * 0.7310585786, 4) AS damped_scaled FROM go""")
+def simple_damping(spark, d):
+    # scaled as in scenario_ema
+    return stabilize.simple_damping(corrupted(spark, d)).select(*KEY, F.round(F.col("damped") * 0.7310585786, 4).alias("damped_scaled"))
+
+
 @query(f"WITH {X}, a AS (SELECT user_id, x, abs(x - lag(x) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS dd FROM x), g AS (SELECT user_id, stddev_pop(x) AS s, max(dd) AS mx, avg(dd) AS mn FROM a GROUP BY user_id) SELECT user_id, round(CASE WHEN mx IS NULL THEN 1e-5 WHEN mx > 3 AND mx / (mn + 1e-5) > 5 THEN 1e-5 ELSE 0.1 * s END, 6) AS thr, round(1 / (1 + s), 6) AS noise_scalar, coalesce(mx > 3 AND mx / (mn + 1e-5) > 5, false) AS panic FROM g")
 def calibrate(spark, d):
     return stabilize.calibrate(corrupted(spark, d), by=("user_id",)).select("user_id", r6("thr"), r6("noise_scalar"), "panic")
@@ -558,7 +644,28 @@ def _model(batches: pd.Series) -> pd.Series:
     return np.tanh(batches / 500)
 
 
-@query()
+_SHIELD = stabilize.Stabilizer(threshold=0.15, alpha=0.05)
+# From `withref` (with columns x and ref) to `guarded`, with columns protected and margin_in.
+GUARD = f"""sc0 AS MATERIALIZED (SELECT *, CASE WHEN ref <> 0 THEN pow(10, -4 - greatest(log10(abs(ref) + 1e-15), -4)) ELSE 1 END AS factor, coalesce(abs(x - ref) > 0.05, false) AS hard FROM withref),
+sc1 AS MATERIALIZED (SELECT user_id, idx, ref * factor AS clean_c, CASE WHEN x IS NOT NULL THEN least(greatest(x * factor, -0.002), 0.002) END AS x, hard FROM sc0),
+cal1 AS MATERIALIZED ({calibrated_sql('sc1', 'user_id', 0.15)}), src1 AS MATERIALIZED (SELECT sc1.*, thr FROM sc1 JOIN cal1 USING (user_id)), {fold_sql('go1', 'src1', 'user_id', _SHIELD, hard='hard')},
+guarded AS MATERIALIZED (SELECT *, coalesce(abs(x - protected), abs(protected)) AS margin_in FROM (SELECT sc0.*, (p - CASE WHEN sc0.hard THEN 0.99 ELSE 0.85 END * (p - clean_c)) / factor AS protected FROM sc0 JOIN sc1 USING (user_id, idx) JOIN go1 USING (user_id, idx)))"""
+# From `answered` (with columns output and output_ref) to `shielded` and margin_out.
+ANSWER = f"""aa AS (SELECT *, abs(output - output_ref) AS d FROM answered), ab AS (SELECT *, least(greatest(1 - d / (2 * greatest(abs(output), 1e-3)), 0), 1) AS near FROM aa),
+ac AS (SELECT *, least(greatest((1 - near) * {GAIN.format(d='d')} * {E.K_MAX!r} + near * least(greatest(0.25 + d / ({E.C_ANOMALY!r} + d + 1e-7) * ({E.K_MAX!r} - 0.25), 0.25), {E.K_MAX!r}), {E.GAIN_LOW!r}), {E.GAIN_HIGH!r}) AS k FROM ab),
+fin AS (SELECT *, (1 - k) * output + k * output_ref AS shielded, abs(output - ((1 - k) * output + k * output_ref)) AS margin_out FROM ac)"""
+
+
+def _model(batches: pd.Series) -> pd.Series:
+    return np.tanh(batches / 500)
+
+
+@query(f"""WITH RECURSIVE {X}, pa AS (SELECT *, coalesce(x, median(x) OVER (PARTITION BY user_id), 0) AS v FROM x), pb AS (SELECT *, quantile_cont(v, 0.5) {over(3, 3)} AS med FROM pa), pc AS (SELECT *, median(abs(v - med)) OVER (PARTITION BY user_id) AS mad FROM pb),
+src0 AS MATERIALIZED (SELECT user_id, idx, CASE WHEN abs(v - med) > 6 * 1.4826 * CASE WHEN mad = 0 THEN 1e-12 ELSE mad END THEN med ELSE v END AS x FROM pc), {fold_sql('go0', 'src0', 'user_id', _SHIELD, thr='0.15', batch=False)},
+withref AS MATERIALIZED (SELECT x.*, p AS ref FROM x JOIN go0 USING (user_id, idx)), {GUARD},
+out0 AS MATERIALIZED (SELECT *, tanh(protected / 500) AS output FROM guarded), so AS MATERIALIZED (SELECT user_id, idx, output AS x FROM out0), cal2 AS MATERIALIZED ({calibrated_sql('so', 'user_id', 0.15)}), src2 AS MATERIALIZED (SELECT so.*, thr FROM so JOIN cal2 USING (user_id)), {fold_sql('go2', 'src2', 'user_id', _SHIELD)},
+answered AS (SELECT out0.*, p AS output_ref FROM out0 JOIN go2 USING (user_id, idx)), {ANSWER}
+SELECT user_id, event_id, round(protected, 4) AS protected, round(margin_in, 4) AS margin_in, round(shielded, 6) AS shielded, round(margin_out, 6) AS margin_out FROM fin""")
 def shield_full(spark, d):
     """Blind protection around a pandas model."""
     model = F.pandas_udf(_model, "double")
@@ -566,12 +673,59 @@ def shield_full(spark, d):
     return out.select(*KEY, r6("protected", 4), r6("margin_in", 4), r6("shielded"), r6("margin_out"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {X}, withref AS MATERIALIZED (SELECT *, coalesce(given, 0.0) AS ref FROM x), {GUARD}, answered AS (SELECT *, 2 * protected + 1 AS output, 2 * ref + 1 AS output_ref FROM guarded), {ANSWER}
+SELECT round(avg(margin_in), 4) AS mean_margin_in, round(max(margin_in), 4) AS max_margin_in, round(avg(margin_out), 4) AS mean_margin_out, round(max(margin_out), 4) AS max_margin_out FROM fin""")
 def shield_margins(spark, d):
     out = shield.ModelShield(lambda c: 2 * c + 1).protect(corrupted(spark, d), reference="given")
     return shield.margins(out).select(*(r6(c, 4) for c in ("mean_margin_in", "max_margin_in", "mean_margin_out", "max_margin_out")))
 
 
+# ---- sources and sinks: files that the query writes itself ----------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 1.5::DOUBLE), (1, -200), (2, NULL), (3, 7), (4, 0.25)) t(idx, value)")
+def read_numbers(spark, d):
+    path = runtime.scratch(spark, "numbers")
+    runtime.put(spark, f"{path}/series.txt", b"first 1.5, -2e2\nNaN; 7 and 0.25")
+    return readers.numbers(spark, path).select("idx", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+
+
+@query("SELECT i AS idx, c AS channel, 8000 AS rate, 'int16' AS dtype, round((CASE WHEN c = 0 THEN 1000 * i ELSE -500 * i END) / 32768.0, 6)::DOUBLE AS sample FROM range(0, 20) a(i), range(0, 2) b(c)")
+def read_wav(spark, d):
+    path, i = runtime.scratch(spark, "wav"), np.arange(20)
+    runtime.put(spark, f"{path}/tone.wav", readers.write_wav(8000, np.stack([1000 * i, -500 * i], 1).astype(np.int16)))
+    return readers.wav(spark, path).select("idx", F.col("channel").cast("long").alias("channel"), "rate", "dtype", r6("sample"))
+
+
+@query(f"WITH {X}, g AS (SELECT count(*) AS n, var_pop(x / 500) AS a, var_pop(given / 500) AS b FROM x) SELECT unnest(['Points: ' || n, printf('Variance, raw: %.3f', a), printf('Variance, filtered: %.3f', b), printf('Damping: %.2f%%', (a - b) / a * 100)]) AS line FROM g")
+def trend_report(spark, d):
+    """The lines of the report as they are read back, with fewer digits."""
+    path = runtime.scratch(spark, "trend")
+    pairs = corrupted(spark, d).df.select((F.col("x") / 500).alias("raw"), (F.col("given") / 500).alias("filtered"))
+    reports.trend_report(spark, pairs, "raw", "filtered", path)
+    line = F.col("value")
+    short = F.concat(F.substring_index(line, ": ", 1), F.lit(": "), F.regexp_replace(F.format_number(F.substring_index(line, ": ", -1).cast("double"), 3), ",", ""))
+    return spark.read.text(path).where(~line.startswith("Engine")).select(F.when(line.startswith("Variance"), short).otherwise(line).alias("line"))
+
+
+@query("SELECT 3::BIGINT AS records, true AS intact, false AS altered_intact, 'NaN' AS missing")
+def provenance_archive(spark, d):
+    """An archive is intact as written, and isn't once a number in it is changed."""
+    path, other = runtime.scratch(spark, "archive"), runtime.scratch(spark, "archive")
+    reports.provenance(spark, [{"k": 0, "v": 1.5}, {"k": 1, "v": float("nan")}, {"k": 2, "v": [1.0, 2.0]}], path)
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    spark.createDataFrame([(text.replace("1.5", "1.6"),)], "value string").coalesce(1).write.text(other)
+    records = json.loads(text)["records"]
+    return spark.createDataFrame([(len(records), reports.verified(spark, path), reports.verified(spark, other), records[1]["v"])], "records long, intact boolean, altered_intact boolean, missing string")
+
+
+@query(f"SELECT * FROM (VALUES (0::BIGINT, 'relu', 0.0::DOUBLE, 0.0::DOUBLE), (1, 'scale', {E.PHI!r}, 0.25), (2, 'clip', -0.5, 0.5), (3, 'identity', 0, 0)) t(place, name, p1, p2)")
+def op_list_storage(spark, d):
+    path = runtime.scratch(spark, "ops")
+    pipeline.save(spark, pipeline.compiled(["ReLU ", "scale", ("clip", -0.5, 0.5), "no such op"]), path)
+    return spark.createDataFrame([(i, o.name, o.p1, o.p2) for i, o in enumerate(pipeline.load(spark, path))], "place long, name string, p1 double, p2 double")
+
+
 @query("SELECT * FROM (VALUES ('balanced_v2', 1e-05::DOUBLE, 0.05::DOUBLE, 1.0::DOUBLE, 0.18::DOUBLE, 0.28::DOUBLE), ('cifar10_best_v1', 4.384205263047182e-06, 0.04590571010729771, 0.8, 0.19814386535420334, 0.2945784399322787), ('pure_1d_time_v1', 0.08, 0.35, 1.2, 0.25, 0.55), ('cifar10_hardened_lyapunov', 0.12, 0.05, 1.0, 0.18, 0.28)) t(name, threshold, alpha, sigma_mult, k_min, k_max)")
 def presets(spark, d):
     rows = [(n, c.threshold, c.alpha, c.sigma_mult, c.k_min, c.k_max) for n, c in stabilize.PRESETS.items()]

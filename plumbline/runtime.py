@@ -6,7 +6,9 @@ import json
 import logging
 import math
 import statistics
+import tempfile
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +78,26 @@ def check_driver_memory(least_free: float = 0.15) -> float:
     if free < least_free:
         raise MemoryPressureError(f"{free:.0%} of the memory is free; {least_free:.0%} is wanted")
     return free
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under spark.checkpoint.dir. Where that isn't set, a local session gets a folder of its own;
+    on a cluster, whose executors wouldn't see one, it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
+        root = _LOCAL[app] = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="plumbline-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, by the session's own file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(content))
+    out.close()

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from plumbline.llm.common import as_bytes, blocks, mixed, scratch, spread, trim, written
+from plumbline.llm.common import as_bytes, blocks, mixed, spread, trim, written
+from plumbline.runtime import scratch
 
 #: Bytes of text in a batch, bytes of hashes and of pieces that one task sorts, windows of a piece at most.
 BATCH_BYTES, HASH_BYTES, PIECE_BYTES, PIECE = 12 << 20, 12 << 20, 6 << 20, 32

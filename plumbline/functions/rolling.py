@@ -54,26 +54,33 @@ def streamed(s: Series, reach: int, out: StructType, compute: Callable[[np.ndarr
     names = [*s.df.columns, *out.names]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done, waiting, size = None, 0, [], 0
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                waiting.append(batch)
-                size += batch.num_rows
-                if size < ROWS:
-                    continue
-            parts = [*([held] if held is not None else []), *map(lambda b: pa.Table.from_batches([b]), waiting)]
-            if not parts:
-                return
-            held, waiting, size = pa.concat_tables(parts).combine_chunks(), [], 0
-            x = held.column("x").to_numpy(zero_copy_only=False).astype(float)
-            series = np.cumsum(held.column("_at").to_numpy() == 1)
-            until = held.num_rows if batch is None else max(done, held.num_rows - reach)
+        for rows, x, series, done, until, _ in held_rows(batches, reach):
             for i in range(done, until, ROWS):
                 j = min(until, i + ROWS)
                 a, b = max(0, i - reach), min(len(x), j + reach)
-                mine = held.slice(i, j - i).drop_columns(["_at"]).combine_chunks().to_batches()[0]
+                mine = rows.slice(i, j - i).drop_columns(["_at"]).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*mine.columns, *compute(x[a:b], series[a:b], i - a, j - a)], names)
-            start = max(0, until - reach)
-            held, done = held.slice(start), until - start
 
     return df.mapInArrow(run, StructType([*s.df.schema.fields, *out.fields]))
+
+
+def held_rows(batches: Iterable[pa.RecordBatch], reach: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, int, int, list]]:
+    """Sorted rows as (rows, x, number of the series, begin, end, kept): the points begin to end - 1 are due, and have
+    `reach` points more on either side where there are any. `kept` is the caller's, one list for all steps."""
+    held, done, waiting, size, kept = None, 0, [], 0, []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            waiting.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+            if size < ROWS:
+                continue
+        parts = [*([held] if held is not None else []), *waiting]
+        if not parts:
+            return
+        held, waiting, size = pa.concat_tables(parts).combine_chunks(), [], 0
+        x = held.column("x").to_numpy(zero_copy_only=False).astype(float)
+        series = np.cumsum(held.column("_at").to_numpy() == 1)
+        until = held.num_rows if batch is None else max(done, held.num_rows - reach)
+        yield held, x, series, done, until, kept
+        start = max(0, until - reach)
+        held, done = held.slice(start), until - start

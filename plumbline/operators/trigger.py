@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays as A
 from plumbline.functions import elementwise as E
-from plumbline.functions.windows import Series, values, with_double
+from plumbline.functions import rolling as R
+from plumbline.functions.windows import Series, with_double
 
 MOST = 20
 MAD_SCALE = 1.4826
@@ -26,37 +29,32 @@ def fill(s: Series, radius: int | None = None) -> DataFrame:
     """Adds `filled`: a missing point becomes the median of those within the radius that aren't missing, else the
     series' median, else 0. Gaps are filled from left to right, and later ones see earlier fills.
 
-    Where no two missing points of a series are within the radius that is a plain window; other series are filled in
-    order, a series at a time.
+    One pass over Arrow batches of sorted rows, which holds a batch and the radius on either side; only missing points
+    are looked at one by one.
     """
     reach = MOST if radius is None else max(int(radius), 3)
     df = s.indexed().df
     df = df.select("*", F.count("*").over(s.whole()).alias("_n"), F.percentile("x", F.lit(0.5)).over(s.whole()).alias("_all"))
     df = df.withColumn("_r", F.greatest(_radius(F.col("_n"), radius), F.lit(3)))
-    gap = F.when(F.col("x").isNull(), F.col("idx"))
-    df = df.withColumn("_gap", F.col("idx") - F.last(gap, ignorenulls=True).over(s.frame(10**9, -1)))
-    df = df.withColumn("_runs", F.coalesce(F.max(F.when(F.col("x").isNull() & (F.col("_gap") <= F.col("_r")), 1).otherwise(0)).over(s.whole()), F.lit(0)))
-    df = df.withColumn("_near", F.collect_list(F.when(F.col("x").isNotNull(), F.struct("idx", "x"))).over(s.frame(reach, reach)))
-    near = F.transform(F.filter("_near", lambda p: F.abs(p["idx"] - F.col("idx")) <= F.col("_r")), lambda p: p["x"])
-    window = F.when(F.col("x").isNotNull(), F.col("x")).otherwise(F.coalesce(A.median(near), F.col("_all"), F.lit(0.0)))
-    plain = df.where("_runs = 0").withColumn("filled", window).drop("_gap", "_near")
-    keys, order = list(s.key), "idx"
-
-    def in_order(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        x = rows["x"].to_numpy(dtype=float, na_value=float("nan"), copy=True)
-        r, known = int(rows["_r"].iloc[0]), pd.notna(x)
-        whole = float(rows["_all"].iloc[0]) if pd.notna(rows["_all"].iloc[0]) else 0.0
-        for i in (~known).nonzero()[0]:
-            a, b = max(0, i - r), i + r + 1
-            some = x[a:b][known[a:b]]
-            x[i] = float(pd.Series(some).median()) if len(some) else whole
-            known[i] = True
-        return rows.assign(filled=x)
-
-    runs = df.where("_runs > 0").drop("_gap", "_near")
-    runs = runs.groupBy(*keys).applyInPandas(in_order, with_double(runs.schema, "filled"))
-    return plain.unionByName(runs).drop("_all", "_runs")
+    df = s.having(df).df.withColumn("_at", F.row_number().over(s.window()))
+    names = [c for c in df.columns if c not in ("_all", "_at")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, x, series, done, until, before in R.held_rows(batches, reach):
+            r, whole = rows.column("_r").to_numpy(), rows.column("_all").to_numpy(zero_copy_only=False).astype(float)
+            y = x.copy()
+            y[:done] = before
+            for i in np.flatnonzero(np.isnan(x[done:until])) + done:
+                some = slice(max(0, i - r[i]), i + r[i] + 1)
+                near = y[some][(series[some] == series[i]) & ~np.isnan(y[some])]
+                y[i] = np.median(near) if len(near) else 0.0 if np.isnan(whole[i]) else whole[i]
+            before[:] = []
+            before.extend(y[max(0, until - reach) : until])
+            mine = rows.select(names).slice(done, until - done).combine_chunks().to_batches()
+            if mine:
+                yield pa.RecordBatch.from_arrays([*mine[0].columns, pa.array(y[done:until])], [*names, "filled"])
+
+    return df.mapInArrow(run, with_double(df.select(names).schema, "filled"))
 
 
 def shield(s: Series, radius: int | None = None, reference: str | None = None) -> DataFrame:

@@ -45,10 +45,9 @@ def doubles(v: Column) -> Column:
 def scores(table: DataFrame, query: DataFrame, vector: str = "embedding", kappa: float = KAPPA, stress: float = STRESS) -> DataFrame:
     """Adds `score` of every row against the one row of `query` (column `query`), which is broadcast. A query table
     of more rows is an error; of none, there are no scores."""
-    found = query.select(doubles(F.col("query")).alias("q")).limit(2).collect()
-    if len(found) > 1:
-        raise ValueError("one query at a time")
-    one = table.sparkSession.createDataFrame([tuple(r) for r in found], "q array<double>").select(unit(F.col("q")).alias("_q"))
+    found = query.select(F.struct(doubles(F.col("query")).alias("q")).alias("s")).limit(2).agg(F.collect_list("s").alias("qs")).where(F.size("qs") > 0)
+    alone = F.when(F.size("qs") == 1, F.element_at("qs", 1)["q"]).otherwise(F.raise_error(F.lit("one query at a time")).cast("array<double>"))
+    one = found.select(unit(alone).alias("_q"))
     return table.crossJoin(F.broadcast(one)).withColumn("score", resonance(doubles(F.col(vector)), F.col("_q"), kappa, stress)).drop("_q")
 
 

@@ -342,3 +342,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_one_query_at_a_time(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    query = table.select(table.embedding.alias("query"))
+    assert similarity.scores(table, query.limit(1)).count() == 2 and similarity.scores(table, query.where("false")).count() == 0
+    with pytest.raises(Exception, match="one query"):
+        similarity.scores(table, query).collect()
+
+
+def test_blocks_without_a_key_and_together_again(spark):
+    table = spark.createDataFrame([(f"n{i:03d}", i) for i in range(100)], "name string, i long").repartition(5)
+    got = sorted((r["name"], r["block"]) for r in vectors.row_blocks(table, "name", 7).collect())
+    assert got == [(f"n{i:03d}", i // 7) for i in range(100)]
+    assert vectors.row_blocks(table.where("false"), "name", 7).count() == 0

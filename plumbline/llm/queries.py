@@ -82,4 +82,14 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM ranked WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op7_multi_index_hashing": OP7_SQL}
+#: What the archives must say of each page: the least page_id of equal payloads of 100 bytes or more is the response.
+OP4_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op4_warc_in_zip": OP4_SQL, "op7_multi_index_hashing": OP7_SQL}

@@ -92,4 +92,23 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op4_warc_in_zip": OP4_SQL, "op7_multi_index_hashing": OP7_SQL}
+#: Sets of shingles, overlaps counted over the shingles that two different sets share, and what links reach.
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS s FROM w),
+docs AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS sig, s FROM sets),
+classes AS MATERIALIZED (SELECT sig, min(doc_id) AS rep, any_value(n) AS n, any_value(s) AS s FROM docs WHERE n > 0 GROUP BY sig),
+grams AS MATERIALIZED (SELECT rep, n, unnest(s) AS g FROM classes),
+links AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b FROM grams a JOIN grams b ON a.g = b.g AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT rep AS node, rep AS other FROM classes UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, d.n AS n_shingles, CASE WHEN d.n > 0 THEN l.component_id ELSE d.doc_id END AS component_id
+FROM docs d LEFT JOIN classes c ON c.sig = d.sig LEFT JOIN least l ON l.node = c.rep
+"""
+
+ORACLES: dict[str, str] = {"op4_warc_in_zip": OP4_SQL, "op7_multi_index_hashing": OP7_SQL, "op8_blocked_ngram_join": OP8_SQL}

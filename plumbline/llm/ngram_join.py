@@ -25,6 +25,8 @@ TABLE = (1 << 20, 1 << 26)
 SLICE = 1 << 16
 #: Documents of one block of a product, and bytes of entries that one task sorts.
 BLOCK, TASK_BYTES = 2048, 4 << 20
+#: Documents of one part of a list, and digests of sets that a task remembers.
+PART, SEEN = 1 << 12, 1 << 16
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -82,6 +84,13 @@ def _levels(scanned: DataFrame, size: int, total: int) -> np.ndarray:
     return out
 
 
+def list_parts(size: int, total: int) -> np.ndarray:
+    """Parts of the list of a shingle by its level: 1, and more as its entry goes beyond what collisions explain."""
+    usual = total / size
+    count = (2 ** (np.arange(256) / 12) - 1) * (usual + 1)
+    return 1 + np.maximum(0, count - 16 * usual).astype(np.int64) // PART
+
+
 def first_shingles(h: np.ndarray, s: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions in h of each set's first shingles, seldom ones first, and the set of each."""
     n = np.diff(s)
@@ -96,11 +105,34 @@ def first_shingles(h: np.ndarray, s: np.ndarray, level: np.ndarray, percent: int
 ENTRY = np.dtype([("h", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("sig", "<u8")])
 
 
-def _entries(docs: DataFrame, words: int, percent: int, levels, n_buckets: int) -> DataFrame:
-    """(bucket, entries): first shingles of documents, packed. Of equal sets in a block only the least id is kept."""
+def _in_bands(e: np.ndarray, parts: np.ndarray, percent: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of long lists and their buckets, from n_buckets on. Two sets that can link are of one class of sizes or
+    of neighbouring ones, so each entry goes to two bands, whose lists have keys of their own; a band is dealt in parts
+    by the sets' digests, so equal sets still meet."""
+    size_class = (np.floor(np.log(e["n"]) / np.log(100 / percent) + 1e-9) if percent < 100 else e["n"]).astype(np.uint64)
+    both = np.concatenate([e, e])
+    band = np.concatenate([size_class, size_class + np.uint64(1)])
+    both["h"] = mixed(both["h"] + mixed(band + np.uint64(1)))
+    part = mixed(both["sig"]) % np.concatenate([parts, parts]).astype(np.uint64)
+    return both, n_buckets + (mixed(both["h"] + mixed(part + np.uint64(1))) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _entries(docs: DataFrame, words: int, percent: int, levels, parts_of: np.ndarray, n_buckets: int) -> DataFrame:
+    """(bucket, entries): first shingles of documents, packed. Of equal sets that a task remembers only ids that fall
+    are kept, so a class of copies has few entries. Buckets from n_buckets on have parts of long lists."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = levels.value
+        seen: dict[bytes, int] = {}
+
+        def falls(digest: bytes, doc: int) -> bool:
+            if seen.get(digest, doc + 1) <= doc:
+                return False
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen[digest] = doc
+            return True
+
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -108,15 +140,21 @@ def _entries(docs: DataFrame, words: int, percent: int, levels, n_buckets: int)
             for i, h, s in _sets(batch, words):
                 n = np.diff(s)
                 at, row = first_shingles(h, s, level, percent)
-                sig = np.array([int.from_bytes(hashlib.md5(h[a:b].tobytes()).digest()[:8], "little") for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)], np.uint64)
-                at, row = at[known[i + row]], row[known[i + row]]
+                digests = [hashlib.md5(h[a:b].tobytes()).digest() for a, b in zip(s[:-1].tolist(), s[1:].tolist(), strict=True)]
+                sig = np.array([int.from_bytes(d[:8], "little") for d in digests], np.uint64)
+                take = np.array([k and falls(d, x) for k, d, x in zip(known[i : i + len(n)].tolist(), digests, ids[i : i + len(n)].tolist(), strict=True)], bool)
+                at, row = at[take[row]], row[take[row]]
                 e = np.zeros(len(at), ENTRY)
                 e["h"], e["doc"], e["n"], e["sig"] = h[at], ids[i + row], n[row], sig[row]
                 held.append(e)
             if not held:
                 continue
             e = np.concatenate(held)
-            bucket = (mixed(e["h"]) % np.uint64(n_buckets)).astype(np.int64)
+            parts = parts_of[level[(e["h"] & np.uint64(len(level) - 1)).astype(np.int64)]]
+            banded, theirs = _in_bands(e[parts > 1], parts[parts > 1], percent, n_buckets)
+            e = e[parts == 1]
+            bucket = np.concatenate([(mixed(e["h"]) % np.uint64(n_buckets)).astype(np.int64), theirs])
+            e = np.concatenate([e, banded])
             by = np.lexsort((e["doc"], e["sig"], e["h"], bucket))
             e, bucket = e[by], bucket[by]
             new = np.ones(len(e), bool)
@@ -140,11 +178,13 @@ def _unpacked(raw: pa.Buffer) -> np.ndarray:
     return e
 
 
-def _met(entries: DataFrame, percent: int) -> DataFrame:
+def _met(entries: DataFrame, percent: int, n_buckets: int) -> DataFrame:
     """(leader, doc): documents that share a first shingle, under the least by hash of those that share it.
 
-    A document is left out of a list if no other one there is of a size that could link.
+    A document is left out of a list if no other one there is of a size that could link. Parts of a long list have
+    leaders of their own first, of which the least by hash leads them all; no task sorts the whole of such a list.
     """
+    names = ["list", "weight", "leader", "doc"]
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_unpacked(x.as_buffer()) for batch in batches for x in batch.column("entries")]
@@ -158,24 +198,35 @@ def _met(entries: DataFrame, percent: int) -> DataFrame:
         same = e["h"][1:] == e["h"][:-1]
         near = same & (100 * n[:-1] >= percent * n[1:])
         near = np.concatenate([[False], near, [False]])
-        keep = near[1:] | near[:-1]
-        # a gap in sizes that no pair can cross cuts a list in two
-        part = np.cumsum(~near[:-1])[keep]
-        e = e[keep]
-        leaders, docs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        long = key[0].as_py() >= n_buckets
+        if long:  # sets of other parts may be near
+            part = np.cumsum(np.concatenate([[True], ~same]))
+        else:
+            keep = near[1:] | near[:-1]
+            # a gap in sizes that no pair can cross cuts a list in two
+            part = np.cumsum(~near[:-1])[keep]
+            e = e[keep]
+        lists, leaders, docs = (np.zeros(0, np.int64) for _ in range(3))
         if len(e):
             weight = mixed(e["doc"].astype(np.uint64))
             by = np.lexsort((weight, part))
             part, doc = part[by], e["doc"][by]
             first = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1])
             leader = np.repeat(doc[first], np.diff(np.append(first, len(doc))))
-            pairs = np.unique(np.stack([leader, doc], 1), axis=0)
-            leaders, docs = pairs[:, 0], pairs[:, 1]
+            of = e["h"][by].view(np.int64) if long else np.zeros(len(doc), np.int64)
+            lists, leaders, docs = np.unique(np.stack([of, leader, doc], 1), axis=0).T
         del e, held
         trim()
-        yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(docs, pa.int64())], ["leader", "doc"])
+        weights = (mixed(leaders.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        none = np.full(len(docs), not long)
+        yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int64(), mask=none), pa.array(weights, pa.int64(), mask=none), pa.array(leaders, pa.int64()), pa.array(docs, pa.int64())], names)
 
-    return entries.groupBy("bucket").applyInArrow(run, "leader long, doc long").distinct()
+    found = written(entries.groupBy("bucket").applyInArrow(run, "list long, weight long, leader long, doc long"), "lists")
+    parts = found.where("list is not null")
+    heads = parts.groupBy("list").agg(F.min_by("leader", F.struct("weight", "leader")).alias("head"), F.count("*").alias("docs"))
+    met = looked_up(parts, written(heads.where("docs > 1"), "heads"), "list", max(1, parts.count()), "docs")
+    led = met.where("head is not null").select(F.col("head").alias("leader"), "doc")
+    return found.where("list is null").select("leader", "doc").unionByName(led).distinct()
 
 
 def links(h: np.ndarray, s: np.ndarray, percent: int, halves: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +345,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     facts = rows.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
     total = facts["n"] or 0
     level = spark.sparkContext.broadcast(_levels(scanned, size, total))  # a byte an entry, TABLE[1] bytes at most
+    parts_of = list_parts(size, total)
     n_buckets = max(16, int(total * (101 - percent) / 100) * ENTRY.itemsize // TASK_BYTES)
-    met = written(_met(_entries(docs, words, percent, level, n_buckets), percent), "met")
+    met = written(_met(_entries(docs, words, percent, level, parts_of, n_buckets), percent, n_buckets), "met")
     sizes = met.groupBy("leader").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
     blocks_ = met.join(sizes, "leader", "left").select("leader", "doc", F.ceil(F.coalesce("k", F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
     own = blocks_.withColumn("own", F.pmod(F.xxhash64("doc"), "n_blocks").cast("int"))

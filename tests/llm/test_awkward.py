@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline import runtime
 from plumbline.llm import ann, bpe, common, hamming, langid, ngram_join, packing, pii, queries, sharding, suffix_dedup, warc
-from tests.llm.test_operators import CLASH, SCHEMA, words
+from tests.llm.test_operators import CLASH, SCHEMA, components_plain, rows_of, shingles_plain, words
 
 
 @pytest.fixture(scope="module")
@@ -152,6 +152,39 @@ def test_hot_keys_are_looked_up_like_all_others(spark, monkeypatch):
         assert common.looked_up(rows, counts, "k", 301, "n").count() == 301
 
 
+def test_long_lists_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 2)
+    monkeypatch.setattr(ngram_join, "SEEN", 3)
+    rng = random.Random(12)
+    base = words(rng, 60, 5000).split()
+    texts = []
+    for k in range(90):  # near copies of many sizes, some equal, some linked only through others
+        w = base[: rng.randrange(30, 61)]
+        if k % 3:
+            w = w + [f"z{rng.randrange(4)}"] * rng.randrange(3)
+        texts.append(" ".join(w))
+    texts += [words(rng, 40, 5000) for _ in range(20)]
+    ids = rng.sample(range(1000), len(texts))
+    rows = [(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)]
+    sets = {i: shingles_plain(t) for i, t, *_ in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components_plain(sets, linked)
+    assert ngram_join.list_parts(ngram_join.TABLE[0], 4000)[30:].min() > 1 and ngram_join.list_parts(ngram_join.TABLE[0], 4000)[12] == 1
+    got = rows_of(ngram_join.join(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {i: (len(x), want[i]) for i, x in sets.items()}
+
+
+def test_bands_hold_every_pair_that_can_link():
+    n = np.arange(1, 400)
+    e = np.zeros(len(n), ngram_join.ENTRY)
+    e["n"], e["h"] = n, 7
+    both, bucket = ngram_join._in_bands(e, np.full(len(n), 3), 80, 16)
+    assert bucket.min() >= 16 and bucket.max() < 32
+    lists = [set(x) for x in zip(both["h"][: len(n)].tolist(), both["h"][len(n) :].tolist(), strict=True)]
+    assert all(lists[a - 1] & lists[b - 1] for a in n.tolist() for b in range(a, min(399, a * 5 // 4) + 1))
+    assert not lists[0] & lists[398]
+
+
 def test_join_of_missing_ids_and_repeated_rows(spark):
     rng = random.Random(9)
     a, b = words(rng, 60), words(rng, 60)

@@ -69,6 +69,8 @@ def recall(inputs: DataFrame, bank: DataFrame, least: float = 0.90, most: int =
     asked = inputs.select(key, shape, unit(doubles(F.col(vector))).alias("_q"))
     if refs.count() <= BROADCAST_BANK:
         refs = F.broadcast(refs)
+        # scores cost far more than moving a vector; the best of each input is then found where its scores are
+        asked = asked.repartition(int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     met = asked.join(refs, shape, "left").withColumn("_score", F.when(F.col("_ref").isNotNull(), resonance(F.col("_ref"), F.col("_q"))))
     met = met.withColumn("_score", F.when(~F.isnan("_score"), F.col("_score")))
     best = met.groupBy(key).agg(F.max_by(F.struct("_seq", "_ref", "_score"), F.struct("_score", -F.col("_seq"))).alias("b"))

@@ -8,14 +8,19 @@ travel apart, dealt by all of their bytes. Equal pieces travel once, with the le
 Within a task, intervals of equal strings grow backwards from length 1, a byte at a time, all intervals of a length at
 once, along the Burrows-Wheeler order: the transform (the byte before each suffix) is read in suffix order, and a
 stable counting sort by it, which is the step from last to first column, gives the order of the longer strings.
-Intervals of one document end early; those that reach the least length are the common prefixes sought, and no longer
-ones are derived. Every byte that goes is in a window of such an interval.
+Intervals of one document end early, and so do those of one window, which equal no other string; those that reach the
+least length are the common prefixes sought, and no longer ones are derived. Every byte that goes is in a window of
+such an interval.
+
+Large tables are done in rounds, each for a part of the hashes: a round's pieces are on disk only until its masks are
+written, so no more than a part of all pieces ever is.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +31,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from plumbline.llm.common import as_bytes, blocks, mixed, spread, trim, written
-from plumbline.runtime import scratch
+from plumbline.runtime import recorded, remove, scratch
 
 #: Bytes of text in a batch, bytes of hashes and of pieces that one task sorts, windows of a piece at most.
 BATCH_BYTES, HASH_BYTES, PIECE_BYTES, PIECE = 12 << 20, 12 << 20, 6 << 20, 32
 SEED_BYTES = 16
 #: Batches that have a hash, from which on its windows travel one by one; buckets of the texts' table at most.
 HOT_BATCHES, MOST_BUCKETS = 256, 50_000
+#: Bytes of text from which on there is a further round, and rounds at most: each reads all texts again.
+ROUND_BYTES, ROUNDS = 1 << 29, 4
 
 
 def _codec(raw: bytes) -> bytes:
@@ -87,7 +94,8 @@ def lowest_documents(text: np.ndarray, start: np.ndarray, low: np.ndarray, high:
     document that has the same string, and whether two have it.
 
     The frontier holds the suffixes of all intervals that still have two documents, in suffix order; `interval`
-    numbers them. Depth grows by one byte a step from the right end of the windows to their left.
+    numbers them. Depth grows by one byte a step from the right end of the windows to their left. An interval of one
+    window is settled: no other window here has its string, whatever the bytes before.
     """
     lowest, several = low.copy(), np.zeros(len(start), bool)
     entry, interval = np.arange(len(start)), np.zeros(len(start), np.int64)
@@ -103,9 +111,10 @@ def lowest_documents(text: np.ndarray, start: np.ndarray, low: np.ndarray, high:
         size = np.diff(np.append(first, len(entry)))
         least_doc = np.minimum.reduceat(low[entry], first)
         two = np.maximum.reduceat(high[entry], first) > least_doc
+        several[entry[first[two & (size == 1)]]] = True
         if depth == least:
             lowest[entry], several[entry] = np.repeat(least_doc, size), np.repeat(two, size)
-        live = np.repeat(two, size)
+        live = np.repeat(two & (size > 1), size)
         interval = np.repeat(np.arange(len(size)), size)[live]
         entry = entry[live]
     return lowest, several
@@ -216,8 +225,8 @@ def _hashes(batches: DataFrame, least: int, n_buckets: int) -> DataFrame:
 
 
 def _shared(hashes: DataFrame, hot: int) -> DataFrame:
-    """(batch, hashes, hot): those that two documents have, apart by whether `hot` batches or more have them. A batch
-    tells each hash once, however many copies it holds."""
+    """(bucket, batch, hashes, hot): those that two documents have, apart by whether `hot` batches or more have them. A
+    batch tells each hash once, however many copies it holds."""
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, owner, many, names = [], [], [], []
@@ -246,10 +255,10 @@ def _shared(hashes: DataFrame, hot: int) -> DataFrame:
         middle = edge[1:] - np.bincount(owner[often], minlength=len(names))
         some = np.nonzero(np.diff(edge))[0].tolist()
         trim()
-        columns = [[names[i] for i in some], [_six(h[edge[i] : middle[i]]) for i in some], [_six(h[middle[i] : edge[i + 1]]) for i in some]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["batch", "hashes", "hot"])
+        columns = [[key[0].as_py()] * len(some), [names[i] for i in some], [_six(h[edge[i] : middle[i]]) for i in some], [_six(h[middle[i] : edge[i + 1]]) for i in some]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "batch", "hashes", "hot"])
 
-    return hashes.groupBy("bucket").applyInArrow(run, "batch long, hashes binary, hot binary")
+    return hashes.groupBy("bucket").applyInArrow(run, "bucket long, batch long, hashes binary, hot binary")
 
 
 def _one_by_one(data: np.ndarray, start: np.ndarray, count: np.ndarray, h: np.ndarray, doc: np.ndarray, hot: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -268,9 +277,9 @@ def _one_by_one(data: np.ndarray, start: np.ndarray, count: np.ndarray, h: np.nd
     return start[by], count[by], h[by], doc[by]
 
 
-def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -> DataFrame:
-    """(batch, bucket, body): for each batch and bucket the different pieces with shared hashes and the least and the
-    largest document of each; and for each batch, with no bucket, where its pieces are."""
+def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int, first_bucket: int = 0) -> DataFrame:
+    """(batch, bucket, body): for each batch and bucket (from first_bucket on) the different pieces with shared hashes
+    and the least and the largest document of each; and for each batch, in a bucket below 0, where its pieces are."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -285,7 +294,7 @@ def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -
             start, count, h, doc = start[hit], count[hit], h[hit], doc[hit]
             start, count, h, doc = _one_by_one(data, start, count, h, doc, np.isin(h, hot), least)
             batch = row["batch"].as_py()
-            bucket = (h % np.uint64(n_buckets)).astype(np.int64)
+            bucket = first_bucket + (h % np.uint64(n_buckets)).astype(np.int64)
             raw = data.tobytes()
             number = np.zeros(len(h), np.int64)  # of an occurrence's piece within its bucket
             lowest = np.zeros(len(h), np.int64)
@@ -303,7 +312,7 @@ def _parted(batches: DataFrame, shared: DataFrame, least: int, n_buckets: int) -
                 sizes = np.fromiter(map(len, seen), "<u2", len(seen))
                 out.append((batch, int(bucket[rows[0]]), _codec(len(seen).to_bytes(8, "little") + sizes.tobytes() + low.tobytes() + high.tobytes() + b"".join(seen))))
             where = np.stack([np.diff(start, prepend=0), count, bucket, number, (ids[doc] > lowest).astype(np.int64)])
-            out.append((batch, None, _codec(where.astype("<i4").tobytes())))
+            out.append((batch, -1 - batch, _codec(where.astype("<i4").tobytes())))
             trim()
         columns = list(zip(*out, strict=True)) if out else [()] * 3
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("batch", "bucket", "body"), columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)})
@@ -315,9 +324,12 @@ def _masks(parts: DataFrame, least: int) -> DataFrame:
     """(batch, bucket, body): of each piece of a batch, two masks of its windows: which of them a document has that is
     smaller than the batch's least with the piece, and which of them two documents have, so that any other document
     with the piece loses them. Equal pieces of several batches are expanded once, with the least and the largest
-    document of all; intervals alone decide."""
+    document of all; intervals alone decide. Buckets below 0 go through as they are."""
 
     def run(key: tuple, source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key[0].as_py() < 0:
+            yield from (batch.select(["batch", "bucket", "body"]) for batch in source)
+            return
         seen: dict[bytes, int] = {}
         names, number, own, low, high = [], [], [], [], []
         for batch in source:
@@ -355,7 +367,7 @@ def _masks(parts: DataFrame, least: int) -> DataFrame:
         trim()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([key[0].as_py()] * len(names), pa.int64()), pa.array([masks[:, a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["batch", "bucket", "body"])
 
-    return parts.where("bucket is not null").select("bucket", "batch", "body").groupBy("bucket").applyInArrow(run, "batch long, bucket long, body binary")
+    return parts.groupBy("bucket").applyInArrow(run, "batch long, bucket long, body binary")
 
 
 def covered(marks: np.ndarray, least: int) -> np.ndarray:
@@ -364,23 +376,23 @@ def covered(marks: np.ndarray, least: int) -> np.ndarray:
     return total[least:] > total[:-least]
 
 
-def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, like: StructType | None = None) -> DataFrame:
+def _cut(batches: DataFrame, masks: DataFrame, least: int, like: StructType | None = None) -> DataFrame:
     """What is left of documents of which something goes; with `like`, a documents' schema, all rows of the batches
     with the texts that are left."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         kept_of: dict[int, str] = {}
-        where = [b for k, b in zip(right.column("bucket").to_pylist(), right.column("body"), strict=True) if k is None]
+        where = [b for k, b in zip(right.column("bucket").to_pylist(), right.column("body"), strict=True) if k < 0]
         if left.num_rows and where:
             ids, at, data = _opened({c: left.column(c)[0] for c in ("ids", "sizes", "text")})
-            start, count, bucket, number, later = np.frombuffer(_plain(where[0].as_buffer()), "<i4").reshape(5, -1).astype(np.int64)
-            start = np.cumsum(start)
+            rounds = [np.frombuffer(_plain(b.as_buffer()), "<i4").reshape(5, -1).astype(np.int64) for b in where]
+            start, count, bucket, number, later = np.concatenate([np.stack([np.cumsum(x[0]), *x[1:]]) for x in rounds], 1)
             mask = np.zeros(len(start), np.uint64)
             by = np.argsort(bucket, kind="stable")
             ordered = bucket[by]
             for b, m in zip(right.column("bucket").to_pylist(), right.column("body"), strict=True):
-                if b is not None:
+                if b >= 0:
                     rows = by[np.searchsorted(ordered, b) : np.searchsorted(ordered, b, "right")]
                     masks = np.frombuffer(m.as_buffer(), "<u4").reshape(2, -1)
                     mask[rows] = masks[later[rows], number[rows]]  # a later document of the batch loses what two have
@@ -417,8 +429,7 @@ def _cut(batches: DataFrame, parts: DataFrame, masks: DataFrame, least: int, lik
         return table.filter(pa.array([kept_of.get(i) != "" for i in range(len(ids))]))  # what was emptied goes
 
     schema = like if like is not None else "d long, n long, sig binary, n_removed long, n_spans long, kept_sha256 string"
-    told = parts.where("bucket is null").unionByName(masks)
-    return batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(run, schema)
+    return batches.groupBy("batch").cogroup(masks.groupBy("batch")).applyInArrow(run, schema)
 
 
 def _kept_by_batch(batches: DataFrame, n_bytes: int) -> tuple[DataFrame, int]:
@@ -434,16 +445,23 @@ def _kept_by_batch(batches: DataFrame, n_bytes: int) -> tuple[DataFrame, int]:
     return table, int(table.agg(F.sum("volume")).first()[0] or 0)
 
 
-def _found(docs: DataFrame, least: int, carry: bool, hot: int = HOT_BATCHES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The packed texts, the pieces that documents share, and which of their windows a smaller document has."""
+def _found(docs: DataFrame, least: int, carry: bool, hot: int = HOT_BATCHES) -> tuple[DataFrame, DataFrame]:
+    """The packed texts, and for the pieces that documents share where they are and which of their windows a smaller
+    document has."""
     if least < 4:
         raise ValueError("the least length is 4 bytes")
     n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     batches, size = _kept_by_batch(_batches(docs, carry), n_bytes)
-    n_hash, n_piece = max(8, size // 3 // HASH_BYTES), max(16, size // PIECE_BYTES)
-    shared = written(_shared(_hashes(batches, least, n_hash), hot), "shared")
-    parts = written(_parted(batches, shared, least, n_piece), "pieces")
-    return batches, parts, _masks(parts, least)
+    n_rounds = min(ROUNDS, 1 + size // ROUND_BYTES)
+    n_hash, n_piece = max(8, size // 3 // HASH_BYTES), max(16, size // PIECE_BYTES // n_rounds)
+    with recorded() as folders:
+        shared = written(_shared(_hashes(batches, least, n_hash), hot), "shared")
+    masks = []
+    for k in range(n_rounds):
+        mine = shared.where(F.col("bucket") % n_rounds == k).drop("bucket")
+        masks.append(written(_masks(_parted(batches, mine, least, n_piece, k * n_piece), least), "masks"))
+    remove(docs.sparkSession, folders)
+    return batches, reduce(DataFrame.unionByName, masks)
 
 
 def repeats(docs: DataFrame, least: int = 50, hot: int = HOT_BATCHES) -> DataFrame:

@@ -9,6 +9,8 @@ import statistics
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +94,31 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
         root = _LOCAL[app] = _LOCAL.get(app) or "file://" + tempfile.mkdtemp(prefix="plumbline-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for folders in _RECORDS:
+        folders.append(path)
+    return path
+
+
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that scratch() names meanwhile, so that they can be removed when nothing reads them any more."""
+    folders: list[str] = []
+    _RECORDS.append(folders)
+    try:
+        yield folders
+    finally:
+        _RECORDS[:] = [x for x in _RECORDS if x is not folders]
+
+
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Deletes folders, by the session's own file system."""
+    for folder in folders:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def put(spark: SparkSession, path: str, content: bytes) -> None:

@@ -3,7 +3,10 @@
 import hashlib
 import json
 import random
+import time
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -142,6 +145,30 @@ def test_passages_in_many_batches_and_with_hot_hashes(spark, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("batches")]
 
 
+def test_passages_in_rounds_leave_no_pieces_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "ROUND_BYTES", 4000, raising=False)
+    rng, root = random.Random(4), Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    passages = [words(rng, 25) for _ in range(6)]
+    rows = [(i, (words(rng, rng.randrange(5, 60)) + passages[i % 6] + words(rng, 20) + passages[i * i % 6]).encode()) for i in range(90)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string").repartition(3)
+    there = set(root.glob("*"))
+    for hot in (2, 256):
+        assert {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup(df, 50, hot=hot).collect()} == plain_removed(rows, 50)
+    assert Counter(p.name.partition("-")[0] for p in set(root.glob("*")) - there) == {"batches": 2, "masks": 8}
+
+
+def test_shuffle_files_of_written_tables_go_at_once(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    there, usual = files.getAllFiles().size(), spark.conf.get(common.CLEANUP)
+    table = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if files.getAllFiles().size() <= there:
+            break
+        time.sleep(0.1)
+    assert files.getAllFiles().size() <= there and table.count() == 7 and spark.conf.get(common.CLEANUP) == usual
+
+
 def test_hot_keys_are_looked_up_like_all_others(spark, monkeypatch):
     rows = spark.createDataFrame([(k, i) for i in range(300) for k in [i % 50 if i % 3 else 7]] + [(99, 1)], "k long, i long")
     counts = rows.where("k < 99").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import langid, ngram_join, packing, pii, suffix_dedup
 from plumbline.llm.common import written
 from plumbline.llm.queries import vocabulary
+from plumbline.runtime import recorded, remove
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         key, rows = "_row", docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
         rows = rows.withColumn("_at", F.monotonically_increasing_id()).orderBy(F.col("doc_id").asc_nulls_last(), "_at")
         rows = written(rows.withColumn("_row", F.monotonically_increasing_id()).drop("_at"), "rows")
-    found = ngram_join.join(rows.select(F.col(key).alias("doc_id"), "text"))
+    with recorded() as folders:
+        found = ngram_join.join(rows.select(F.col(key).alias("doc_id"), "text"))
     first = written(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)), "first")
+    remove(spark, folders)
     return rows.hint("merge").join(first, key, "left_semi").select(docs.columns)  # one plan at every size
 
 
@@ -63,9 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, folders = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with recorded() as made:
+            docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, name)
+            folders += made
+            with recorded() as made:
+                docs = written(docs, name)
+            remove(spark, folders)  # the stage's own and what it read
+            folders = made
     return docs

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import as_bytes, blocks, looked_up, mixed, trim, written
 from plumbline.llm.components import components
 from plumbline.llm.shingles import shingle_sets
+from plumbline.runtime import recorded, remove
 
 #: Least and most entries of the count table. It only orders shingles, so collisions cost time and no result.
 TABLE = (1 << 20, 1 << 26)
@@ -335,7 +336,8 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     the smallest id reachable. Texts of fewer words than a shingle have all of them as their one shingle; null and
     empty texts and texts of blanks have none and are their own component. Rows with equal sets form a class that
     takes part once, by its smallest id, so groups of copies cost one document however large they are. A row with a
-    null id takes its class's component (null if the class has no id). Other columns are ignored.
+    null id takes its class's component (null if the class has no id). Other columns are ignored. Of the tables on the
+    way only the scan and the classes stay in the shared folder, which the result reads.
     """
     spark = docs.sparkSession
     n_bytes = docs.select(F.octet_length(F.col("text").cast("string")).alias("n")).agg(F.sum("n")).first()[0] or 0
@@ -347,7 +349,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     level = spark.sparkContext.broadcast(_levels(scanned, size, total))  # a byte an entry, TABLE[1] bytes at most
     parts_of = list_parts(size, total)
     n_buckets = max(16, int(total * (101 - percent) / 100) * ENTRY.itemsize // TASK_BYTES)
-    met = written(_met(_entries(docs, words, percent, level, parts_of, n_buckets), percent, n_buckets), "met")
+    with recorded() as folders:
+        found = _met(_entries(docs, words, percent, level, parts_of, n_buckets), percent, n_buckets)
+    with recorded() as met_folder:
+        met = written(found, "met")
+    remove(spark, folders)
     sizes = met.groupBy("leader").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK)
     blocks_ = met.join(sizes, "leader", "left").select("leader", "doc", F.ceil(F.coalesce("k", F.lit(1)) / BLOCK).cast("int").alias("n_blocks"))
     own = blocks_.withColumn("own", F.pmod(F.xxhash64("doc"), "n_blocks").cast("int"))
@@ -361,9 +367,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     members = units.hint("merge").join(texts.withColumnRenamed("doc_id", "doc"), "doc")
     n_groups = max(16, met.count() // 500)
     edges = _products(members, words, percent, n_groups)
-    found = components(edges)
+    with recorded() as folders:
+        found = components(edges)
     reps = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(reps.join(found, F.col("rep") == F.col("node"), "left").select("sig", "copies", F.coalesce("component", "rep").alias("component_id")), "classes")
+    remove(spark, [*folders, *met_folder])
     # rows without shingles are their own component
     out = looked_up(rows.where("n > 0"), classes, "sig", facts["rows"], "copies")
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import as_bytes, blocks, spread
 
 #: Bytes of text that are cut into words at a time.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Classes of characters in the public byte-level pattern: letters, numbers, whitespace and all others.
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: What the pattern parts from a word after an apostrophe, by its first letter.
@@ -83,7 +83,7 @@ class Table:
 class ByteBPE:
     """Encoder and decoder. The cache of words is emptied before a block that finds over `cache_entries` in it."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         _check(spec)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import trim
+
 #: Kinds in the order of results; the first four are the base kinds.
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban")
@@ -175,5 +177,7 @@ def mask(docs: DataFrame, text_column: str = "text", least: float = LEAST_SCORE)
             columns = batch.columns
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            del texts, columns
+            trim()
 
     return docs.mapInArrow(run, docs.schema)

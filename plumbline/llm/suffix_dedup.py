@@ -387,7 +387,7 @@ def _cut(batches: DataFrame, masks: DataFrame, least: int, like: StructType | No
         if left.num_rows and where:
             ids, at, data = _opened({c: left.column(c)[0] for c in ("ids", "sizes", "text")})
             rounds = [np.frombuffer(_plain(b.as_buffer()), "<i4").reshape(5, -1).astype(np.int64) for b in where]
-            start, count, bucket, number, later = np.concatenate([np.stack([np.cumsum(x[0]), *x[1:]]) for x in rounds], 1)
+            start, _, bucket, number, later = np.concatenate([np.stack([np.cumsum(x[0]), *x[1:]]) for x in rounds], 1)
             mask = np.zeros(len(start), np.uint64)
             by = np.argsort(bucket, kind="stable")
             ordered = bucket[by]
@@ -397,11 +397,10 @@ def _cut(batches: DataFrame, masks: DataFrame, least: int, like: StructType | No
                     masks = np.frombuffer(m.as_buffer(), "<u4").reshape(2, -1)
                     mask[rows] = masks[later[rows], number[rows]]  # a later document of the batch loses what two have
             some = np.nonzero(mask)[0]
-            count, mask, start = count[some], mask[some], start[some]
-            piece = np.repeat(np.arange(len(count)), count)
-            inner = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
+            mask, start = mask[some], start[some]
             marks = np.zeros(len(data), bool)
-            marks[(start[piece] + inner)[(mask[piece] >> inner.astype(np.uint64) & np.uint64(1)) > 0]] = True
+            for k in range(PIECE):  # the k-th windows of all pieces
+                marks[start[(mask >> np.uint64(k) & np.uint64(1)) > 0] + k] = True
             for i in np.unique(np.searchsorted(at, np.nonzero(marks)[0], "right") - 1).tolist():
                 text, gone = data[at[i] : at[i + 1]], covered(marks[at[i] : at[i + 1]], least)
                 kept = text[~gone].tobytes()

@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,15 @@ def test_shuffle_files_of_written_tables_go_at_once(spark):
     assert files.getAllFiles().size() <= there and table.count() == 7 and spark.conf.get(common.CLEANUP) == usual
 
 
+def test_memory_of_a_batch_is_given_back_after_its_last_block(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "trim", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"some words", None, b"", b"and others"], pa.binary())], ["t"])
+    for _ in bpe.encoded_blocks(batch, "t", queries.vocabulary()):
+        assert not given
+    assert given == [1] and list(common.blocks(np.array([0, 3, 9, 10]), 5)) == [(0, 1), (1, 2), (2, 3)] and given == [1, 1]
+
+
 def test_hot_keys_are_looked_up_like_all_others(spark, monkeypatch):
     rows = spark.createDataFrame([(k, i) for i in range(300) for k in [i % 50 if i % 3 else 7]] + [(99, 1)], "k long, i long")
     counts = rows.where("k < 99").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10)

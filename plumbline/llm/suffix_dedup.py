@@ -33,8 +33,9 @@ from pyspark.sql.types import StructType
 from plumbline.llm.common import as_bytes, blocks, mixed, spread, trim, written
 from plumbline.runtime import recorded, remove, scratch
 
-#: Bytes of text in a batch, bytes of hashes and of pieces that one task sorts, windows of a piece at most.
-BATCH_BYTES, HASH_BYTES, PIECE_BYTES, PIECE = 12 << 20, 12 << 20, 6 << 20, 32
+#: Bytes of text in a batch, bytes of hashes that one task sorts, shared hashes whose pieces it sorts, windows of a
+#: piece at most.
+BATCH_BYTES, HASH_BYTES, PIECE_HASHES, PIECE = 12 << 20, 12 << 20, 1 << 16, 32
 SEED_BYTES = 16
 #: Batches that have a hash, from which on its windows travel one by one; buckets of the texts' table at most.
 HOT_BATCHES, MOST_BUCKETS = 256, 50_000
@@ -452,9 +453,12 @@ def _found(docs: DataFrame, least: int, carry: bool, hot: int = HOT_BATCHES) ->
     n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     batches, size = _kept_by_batch(_batches(docs, carry), n_bytes)
     n_rounds = min(ROUNDS, 1 + size // ROUND_BYTES)
-    n_hash, n_piece = max(8, size // 3 // HASH_BYTES), max(16, size // PIECE_BYTES // n_rounds)
+    n_hash = max(8, size // 3 // HASH_BYTES)
     with recorded() as folders:
         shared = written(_shared(_hashes(batches, least, n_hash), hot), "shared")
+    # the share of hashes that two documents have grows with the table, and a hot one has a piece for each window
+    weight = shared.agg(F.sum((F.octet_length("hashes") + F.octet_length("hot") * PIECE).cast("long"))).first()[0] or 0
+    n_piece = max(16, weight // 6 // PIECE_HASHES // n_rounds)
     masks = []
     for k in range(n_rounds):
         mine = shared.where(F.col("bucket") % n_rounds == k).drop("bucket")

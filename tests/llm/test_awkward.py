@@ -159,6 +159,19 @@ def test_passages_in_rounds_leave_no_pieces_on_disk(spark, monkeypatch):
     assert Counter(p.name.partition("-")[0] for p in set(root.glob("*")) - there) == {"batches": 2, "masks": 8}
 
 
+def test_buckets_of_pieces_follow_what_is_shared(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "PIECE_HASHES", 4, raising=False)
+    rng = random.Random(6)
+    once = [(i, words(rng, 80, 10**6)) for i in range(24)]
+    for rows, most in ((once, 16), (once + [(100 + i, t) for i, t in once], 2000)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        _, told = suffix_dedup._found(df, 50, False)
+        buckets = told.where("bucket >= 0").select("bucket").distinct().count()
+        assert buckets <= most and (most == 16 or buckets > 16)
+        assert sum(r["n_removed"] > 0 for r in suffix_dedup.dedup(df).collect()) == len(rows) - 24
+
+
 def test_shuffle_files_of_written_tables_go_at_once(spark):
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     there, usual = files.getAllFiles().size(), spark.conf.get(common.CLEANUP)

@@ -159,6 +159,20 @@ def test_passages_in_rounds_leave_no_pieces_on_disk(spark, monkeypatch):
     assert Counter(p.name.partition("-")[0] for p in set(root.glob("*")) - there) == {"batches": 2, "masks": 8}
 
 
+def test_spent_tables_of_the_pipeline_are_removed(spark):
+    import corpus_pipeline
+
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    there, rng = set(root.glob("*")), random.Random(9)
+    texts = [words(rng, 60) for _ in range(20)]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in left.collect()) == list(range(20))
+    assert Counter(p.name.partition("-")[0] for p in set(root.glob("*")) - there) == {"first": 1}
+    there = set(root.glob("*"))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert Counter(p.name.partition("-")[0] for p in set(root.glob("*")) - there) == {"personal_data": 1, "packing": 1, "bases": 1}
+
+
 def test_buckets_of_pieces_follow_what_is_shared(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
     monkeypatch.setattr(suffix_dedup, "PIECE_HASHES", 4, raising=False)

@@ -87,7 +87,7 @@ def pressure(s: Series, radius: int = 10, threshold: float = 8.0, n_sigmas: floa
     out = StructType([StructField("pressure", DoubleType()), StructField("eff_threshold", DoubleType()), StructField("is_anomaly", BooleanType()), StructField("clean", DoubleType())])
 
     def compute(x: np.ndarray, series: np.ndarray, begin: int, end: int) -> list[pa.Array]:
-        with np.errstate(invalid="ignore", divide="ignore"):
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
             w, far = R.windows(x, series, begin, end, radius), R.windows(x, series, begin, end, radius * wide)
             own, around = x[begin:end], np.delete(w, radius, 1)
             n, mean, std = R.moments(w)
@@ -123,7 +123,8 @@ def _jensen_shannon(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     low, high = np.where(inside, both, np.inf).min(1), np.where(inside, both, -np.inf).max(1)
     bins = np.clip(inside.sum(1) // 6, 3, 10)
     step = (high - low) / bins
-    flat = ~(high - low >= 1e-12)
+    # no bin holds anything where the range is beyond a double
+    flat = ~(high - low >= 1e-12) | np.isinf(high - low)
 
     def shares(w: np.ndarray) -> np.ndarray:
         # values at or above the lower edge of each bin, and from these those within
@@ -139,8 +140,13 @@ def _jensen_shannon(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def divergence(s: Series, radius: int = 10, wide: int = 3) -> DataFrame:
     """Adds `jsd`: how much the near window differs from the wide one, in bits; 0 for windows of fewer than 4."""
-    df = s.df.select("*", values(s.frame(radius, radius)).alias("_w"), values(s.frame(radius * wide, radius * wide)).alias("_far"))
-    return df.withColumn("jsd", F.when(F.size("_w") >= 4, A.jensen_shannon(F.col("_w"), F.col("_far"))).otherwise(F.lit(0.0))).drop("_w", "_far")
+
+    def compute(x: np.ndarray, series: np.ndarray, begin: int, end: int) -> list[pa.Array]:
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            w, far = R.windows(x, series, begin, end, radius), R.windows(x, series, begin, end, radius * wide)
+            return [pa.array(np.where((~np.isnan(w)).sum(1) >= 4, _jensen_shannon(w, far), 0.0))]
+
+    return R.streamed(s, radius * wide, StructType([StructField("jsd", DoubleType())]), compute)
 
 
 def heal(s: Series, radius: int = 2, sustain: float = 0.7, wide: int = 3) -> DataFrame:

@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import queries
+from plumbline.functions import arrays as A
 from plumbline.functions import elementwise as E
 from plumbline.functions.windows import Series, in_blocks, own_rows
+from plumbline.functions.windows import values as values_of
 from plumbline.operators import detect, shield, similarity, stabilize, trigger, vectors
 from plumbline.plans import pipeline
 from plumbline.sources import readers, reports
@@ -203,6 +205,18 @@ def test_blend_and_gates(spark):
     assert math.isclose(values(spark, E.log_decode(E.log_encode(F.col("v")), E.log_factor(F.col("v"))), [(3.7,)], "v double")[0], 3.7)
 
 
+def test_divergence_comes_from_batches(spark):
+    rng = np.random.default_rng(9)
+    gaps = [None if i % 7 == 0 else float("nan") if i % 11 == 0 else v for i, v in enumerate(rng.normal(size=150).tolist())]
+    s = series(spark, gaps, [i * 7 % 10 for i in range(90)], [1e308, -1e308] * 20, [5.0] * 30, [1, 2, 3], [1 + i * 1e-14 for i in range(30)], [None] * 5, [*rng.normal(size=40), float("inf"), 1e9, *rng.normal(size=40)])
+    w, far = values_of(s.frame(10, 10)), values_of(s.frame(30, 30))
+    plain = s.df.withColumn("w", w).withColumn("far", far).withColumn("jsd", F.when(F.size("w") >= 4, A.jensen_shannon(F.col("w"), F.col("far"))).otherwise(0.0))
+    got = detect.divergence(s)
+    assert np.allclose(ran(got, "jsd"), ran(plain, "jsd"), rtol=0, atol=1e-12)
+    # expressions on arrays took 0.2 ms a row
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_model_shield(spark):
     s = series(spark, [1.2, 1.3, 1.28, 1.31, 9999, 1.29, 1.30, 1.27])
     got = ran(shield.ModelShield(lambda c: 2 * c + 1).protect(s), "shielded", "margin_in", "margin_out")
